@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import chat, licenses, line_dedup, packing, quality, token_counts
+from quillspan.llm import chat, licenses, line_dedup, packing, quality, simhash, token_counts
 from quillspan.llm.common import table
 
 
@@ -38,7 +38,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality.STATS, "base_failed", "anomaly", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_token_counts, op4_chat_formatting, op8_license_scan, op9_quality_rules)}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.clusters(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_token_counts, op4_chat_formatting, op8_license_scan, op9_quality_rules, op10_simhash)}
 
 _LINES = r"""
 WITH rows AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
