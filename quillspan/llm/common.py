@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 #: Characters of ``[\x20\x09-\x0D]``; ``bytes.split()`` splits at exactly these.
 SPACE = b" \t\n\x0b\x0c\r"
 #: Words kept in a worker's word cache; beyond that the cache starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,11 +74,16 @@ def with_hash(df: DataFrame, *cols: str, name: str = "h") -> DataFrame:
     return df.withColumn(name, F.xxhash64(*cols))
 
 
+_MARKS = bytes(range(0x21, 0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x7F))
+
+
 class WordIds(dict):
     """Token ids of white-space-free chunks as little-endian uint32 bytes, encoded once each.
 
     The vocabulary's normaliser and splitter work within such chunks only (white space is dropped and
-    never part of a token), so the ids of a text are those of its chunks in order.
+    never part of a token), so the ids of a text are those of its chunks in order. Chunks of letters are
+    encoded many at a time, each ending at a token that closes a word; ASCII marks behind letters are a
+    piece of their own. All else is encoded chunk by chunk.
     """
 
     def __init__(self, path: str):
@@ -85,25 +91,59 @@ class WordIds(dict):
 
         super().__init__()
         self.tok = Tokenizer.from_file(path)
-        self[b""] = b""
+        vocab = self.tok.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)
+        self.closes[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
 
     def encode(self, chunk: bytes) -> bytes:
         ids = self.tok.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
         return np.asarray(ids, "<u4").tobytes()
 
     def __missing__(self, chunk: bytes) -> bytes:
-        out = self.encode(chunk)
-        if len(chunk) <= 64:
+        out = self[chunk] = self.encode(chunk)
+        return out
+
+    def learn(self, chunks: set[bytes]) -> None:
+        """Encode chunks that aren't known yet."""
+        letters, tails, rest = set(), [], []
+        for c in chunks:
+            body = c.rstrip(_MARKS)
+            if not (body.isalpha() or unicodedata.normalize("NFC", body.decode("utf-8", "replace")).lower().isalpha()):
+                rest.append(c)
+                continue
+            if len(body) < len(c):
+                tails.append((c, body, c[len(body) :]))
+            if body not in self:
+                letters.add(body)
+        if letters:
+            own = list(letters)
+            ids = np.asarray(self.tok.encode_batch_fast([b" ".join(own).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(own):
+                raw, at = ids.tobytes(), 0
+                for w, e in zip(own, (4 * ends).tolist(), strict=True):
+                    self[w] = raw[at:e]
+                    at = e
+        for c, body, tail in tails:
+            self[c] = self[body] + self[tail]
+        for c in rest:
+            self[c]
+
+    def piece(self, t: bytes) -> bytes:
+        if b"<|" not in t:  # else a special token may come about
+            t = t.lower()
+        chunks = t.replace(b"\n", b" ").split(b" ")
+        if new := {c for c in set(chunks) if c not in self}:
             if len(self) > CACHE_WORDS:
                 self.clear()
-                self[b""] = b""
-            self[chunk] = out
-        return out
+                new = set(chunks)
+            self.learn(new)
+        return b"".join(map(self.__getitem__, chunks))
 
     def text(self, t: bytes) -> bytes:
         """Ids of a whole text. Works through long texts piece by piece to bound memory."""
         if len(t) < 1 << 20:
-            return b"".join(map(self.__getitem__, t.replace(b"\n", b" ").split(b" ")))
+            return self.piece(t)
         out, at = [], 0
         while at < len(t):
             end = min(len(t), at + (1 << 20))
@@ -113,7 +153,7 @@ class WordIds(dict):
                     fwd = [x for x in (t.find(b" ", end), t.find(b"\n", end)) if x >= 0]
                     back = min(fwd, default=len(t) - 1)
                 end = back + 1
-            out.append(b"".join(map(self.__getitem__, t[at:end].replace(b"\n", b" ").split(b" "))))
+            out.append(self.piece(t[at:end]))
             at = end
         return b"".join(out)
 
