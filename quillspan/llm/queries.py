@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import chat, licenses, line_dedup, packing, quality, simhash, token_counts
+from quillspan.llm import chat, licenses, line_dedup, packing, quality, simhash, token_counts, toxicity
 from quillspan.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(rows.unionByName(extra))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -43,7 +47,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_token_counts, op4_chat_formatting, op8_license_scan, op9_quality_rules, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_token_counts, op4_chat_formatting, op5_toxicity, op8_license_scan, op9_quality_rules, op10_simhash)}
 
 _LINES = r"""
 WITH rows AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
