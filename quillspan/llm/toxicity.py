@@ -1,11 +1,11 @@
 """Toxicity by compression distance (operator 5).
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text. Both hold the words that most
-labelled documents share, and each ends (the nearest, cheapest matches) with the words that are significantly
-more frequent in its own class, found by a distributed count. Every text is cut into overlapping windows; how
-many bytes fewer a window takes with the toxic dictionary than with the ordinary one is its distance. A
-logistic model over a document's distances (largest, mean of the four largest, mean, windows over limits)
-calibrates them into a score.
+Two zstandard dictionaries are trained, one on toxic and one on ordinary text. Both end with the words that
+most labelled documents share (at equal offsets, so that these cost the same in both), and each begins with
+the words and word beginnings that are significantly more frequent in its own class, found by a distributed
+count. Every text is cut into overlapping windows; how many bytes fewer a window takes with the toxic
+dictionary than with the ordinary one is its distance. A logistic model over a document's distances (means of
+the largest, mean, deviation, windows over limits) calibrates them into a score.
 
 Training reads labelled rows only, at most `max_labelled` of each class, those with the smallest hash of their
 doc_id; scoring covers every window of every text. doc_id, lang and source are no inputs of a score.
@@ -28,10 +28,11 @@ from pyspark.sql import types as T
 
 from quillspan.llm.common import batches, cut, texts
 
-WINDOW, STEP, LEVEL = 96, 64, 12
+WINDOW, STEP, LEVEL = 64, 48, 12
 MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
-LIMITS = (3, 5, 7)
-N_FEATURES = 4 + len(LIMITS)
+BEGINNINGS = (4, 5, 6, 7, 8, 10)
+LIMITS = (2, 3, 4, 5, 6)
+N_FEATURES = 7 + len(LIMITS)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -46,46 +47,69 @@ def labelled(labels: DataFrame, max_labelled: int = 20_000) -> DataFrame:
     return one("toxic > 0").withColumn("toxic", F.lit(1)).unionByName(one("toxic <= 0").withColumn("toxic", F.lit(0)))
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """(word, n1, n0): toxic and ordinary documents of `rows` (text, toxic) with it; the word b'' counts all."""
+def segments(t: bytes) -> set[bytes]:
+    """The words of a lower-cased text, between spaces, and their beginnings, behind a space."""
+    out = set()
+    for w in {x.strip(MARKS) for x in t.split()}:
+        if 3 <= len(w) <= 32:
+            out.add(b" %s " % w)
+            out |= {b" " + w[:k] for k in BEGINNINGS if k < len(w)}
+    return out
+
+
+def segment_counts(rows: DataFrame) -> DataFrame:
+    """(segment, n1, n0): toxic and ordinary documents of `rows` (text, toxic) with it; b'' counts them all."""
 
     def run(it):
         count: dict[bytes, list[int]] = {}
 
         def out() -> pa.RecordBatch:
             n = np.array(list(count.values()), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(n[:, 1]), pa.array(n[:, 0])], ["word", "n1", "n0"])
+            return pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(n[:, 1]), pa.array(n[:, 0])], ["segment", "n1", "n0"])
 
         for b in it:
             for t, y in zip(texts(b.column(0)), b.column(1).to_pylist(), strict=True):
-                for w in {w for x in t.lower().split() if 3 <= len(w := x.strip(MARKS)) <= 32} | {b""}:
+                for w in segments(t.lower()) | {b""}:
                     count.setdefault(w, [0, 0])[y] += 1
-            if len(count) > 200_000:
-                yield out()
-                count.clear()
+                if len(count) > 200_000:
+                    yield out()
+                    count.clear()
         if count:
             yield out()
 
-    return rows.select("text", "toxic").mapInArrow(run, "word binary, n1 long, n0 long").groupBy("word").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    return rows.select("text", "toxic").mapInArrow(run, "segment binary, n1 long, n0 long").groupBy("segment").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+
+
+def distinct_segments(ranked: list[tuple[bytes, int]], share: float = 0.7) -> list[bytes]:
+    """Of (segment, documents) in order of significance: each grown to the longest with at least `share` of its
+    documents, without those that begin like an earlier one."""
+    n, keep = dict(ranked), []
+    for s, _ in ranked:
+        while grown := [x for x in n if len(x) > len(s) and x.startswith(s.rstrip()) and n[x] >= share * n[s]]:
+            s = max(grown, key=lambda x: (n[x], x))
+        if not any(s.startswith(k.rstrip()) for k in keep):
+            keep.append(s)
+    return keep
 
 
-def dictionaries(counts: DataFrame, least_z: float = 5.0, least_docs: int = 6, own: int = 1500, common: int = 1200) -> tuple[bytes, bytes] | None:
-    """Contents (ordinary, toxic); None unless there are documents of both classes. Reads `own` words of each
-    class and `common` others from the counts."""
+def dictionaries(counts: DataFrame, least_z: float = 8.0, least_docs: int = 6, own: int = 1500, common: int = 2400) -> tuple[bytes, bytes] | None:
+    """Contents (ordinary, toxic); None unless there are documents of both classes. Reads `own` segments of
+    each class and `common` words from the counts."""
     counts = cut(counts)
-    top = counts.where(F.col("word") == F.lit(b"")).collect()
+    top = counts.where(F.col("segment") == F.lit(b"")).collect()
     if not top or not top[0].n1 or not top[0].n0:
         return None
     n1, n0 = top[0].n1, top[0].n0
     p = (F.col("n1") + F.col("n0")) / (n1 + n0)
     z = (F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1 / n1 + 1 / n0))
-    rows = counts.where("length(word) > 0").withColumn("z", z)
-    first = lambda df, by, n: [r.word for r in df.orderBy(by, "word").limit(n).select("word").collect()]
-    toxic = first(rows.where((F.col("z") >= least_z) & (F.col("n1") >= least_docs)), F.desc("z"), own)
-    plain = first(rows.where((F.col("z") <= -least_z) & (F.col("n0") >= least_docs)), F.col("z"), own)
-    both = first(rows.where(F.abs("z") < least_z), F.desc(F.col("n1") / n1 + F.col("n0") / n0), common)
-    content = lambda words: b" " + b" ".join(map(bytes, reversed([*words, *both]))) + b" "
-    return content(plain), content(toxic)
+    rows = counts.where("length(segment) > 0").withColumn("z", z)
+    first = lambda df, n, count, *by: [(bytes(r.segment), r.n) for r in df.orderBy(*by, "segment").limit(n).select("segment", F.col(count).alias("n")).collect()]
+    toxic = first(rows.where((F.col("z") >= least_z) & (F.col("n1") >= least_docs)), own, "n1", F.desc("z"))
+    plain = first(rows.where((F.col("z") <= -least_z) & (F.col("n0") >= least_docs)), own, "n0", F.col("z"))
+    is_word = F.substring("segment", -1, 1) == F.lit(b" ")
+    both = first(rows.where((F.abs("z") < 5) & is_word), common, "n0", F.desc(F.col("n1") + F.col("n0")))
+    shared = b" " + b" ".join(w.strip() for w, _ in reversed(both)) + b" "
+    return b"".join(distinct_segments(plain)) + shared, b"".join(distinct_segments(toxic)) + shared
 
 
 class Distance:
@@ -109,8 +133,8 @@ class Distance:
 
     def features(self, t: bytes) -> list[float]:
         d = self.windows(t)
-        top = np.sort(d)[::-1][:4]
-        return [float(top[0]), float(top.mean()), float(d.mean()), math.log1p(len(d)), *(math.log1p(int((d >= x).sum())) for x in LIMITS)]
+        top = np.sort(d)[::-1]
+        return [*(float(top[:k].mean()) for k in (1, 2, 4, 8)), float(d.mean()), float(d.std()), math.log1p(len(d)), *(math.log1p(int((d >= x).sum())) for x in LIMITS)]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,7 +157,7 @@ def score(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> Dat
     """`docs` without text, with held_out, score and predicted."""
     docs = docs.drop("held_out", "score", "predicted", "_x")
     known = F.broadcast(cut(labelled(labels, max_labelled)))  # 2 * max_labelled rows at most
-    content = dictionaries(word_counts(docs.select("doc_id", "text").join(known, "doc_id")))
+    content = dictionaries(segment_counts(docs.select("doc_id", "text").join(known, "doc_id")))
     fields = [f for f in docs.schema.fields if f.name != "text"]
     rest = docs.select(*[f.name for f in fields], "text")
     if content is None:
