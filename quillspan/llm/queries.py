@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import chat, decontam, licenses, line_dedup, packing, quality, simhash, token_counts, toxicity
+from quillspan.llm import chat, decontam, licenses, line_dedup, packing, quality, simhash, suffix_dedup, token_counts, toxicity
 from quillspan.llm.common import table
 
 
@@ -33,6 +33,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,7 +56,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_token_counts, op4_chat_formatting, op5_toxicity, op7_decontamination, op8_license_scan, op9_quality_rules, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_token_counts, op4_chat_formatting, op5_toxicity, op6_suffix_dedup, op7_decontamination, op8_license_scan, op9_quality_rules, op10_simhash)}
 
 _LINES = r"""
 WITH rows AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),

@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import texts, vocabulary, word_ids
+from quillspan.llm.common import cut, texts, vocabulary, word_ids
 
-BLOCK = 1024
+BLOCK = 128
 
 
 def lengths(docs: DataFrame, path: str | None = None, extra: int = 1) -> DataFrame:
@@ -46,7 +46,7 @@ def histogram(docs: DataFrame, path: str | None = None, extra: int = 1) -> DataF
     """A row per distinct length L: docs of length L, docs of at least L, all tokens in documents up to L,
     and the tokens that a context limit of L keeps: sum(min(length, L))."""
     h = lengths(docs, path, extra).groupBy("length").agg(F.sum("docs").alias("n_docs"))
-    return suffix_sums(h)
+    return suffix_sums(cut(h))  # read twice
 
 
 def suffix_sums(h: DataFrame) -> DataFrame:
