@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import unicodedata
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,6 +39,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a table in the shared checkpoint folder, gone when the driver ends. Frees the shuffles behind it."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    gc.collect()
+    spark._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores behind it as make it new to `df`."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """`docs` but for rows whose doc_id, null included, is in `ids` (doc_id)."""
+    own = fresh(docs, "_id")
+    ids = ids.select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col(own)), "left_anti")
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     if not pa.types.is_binary(column.type) and not pa.types.is_large_binary(column.type):
@@ -70,10 +100,6 @@ def _names(schema: str) -> list[str]:
     return out
 
 
-def with_hash(df: DataFrame, *cols: str, name: str = "h") -> DataFrame:
-    return df.withColumn(name, F.xxhash64(*cols))
-
-
 _MARKS = bytes(range(0x21, 0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x7F))
 
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import texts
+from quillspan.llm.common import texts, without
 
 BLOCK, SKETCH, MIN_HITS, MIN_KEPT = 32, 128, 3, 6
 MAX_FEATURES = 1 << 15
@@ -228,5 +228,4 @@ def search(own: list[bytes], f: np.ndarray, items: list[Item], space: Space, cos
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """`docs` without the documents that hold a benchmark item."""
-    bad = leaks(docs.select("doc_id", "text"), items).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]), "left_anti")
+    return without(docs, leaks(docs.select("doc_id", "text"), items))

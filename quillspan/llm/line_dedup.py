@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspan.llm.common import SPACE, cut, texts
+from quillspan.llm.common import SPACE, cut, fresh, texts
 
 BLOCK_BITS = 1 << 17
 NO_ID = -(1 << 63)
@@ -144,11 +144,12 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, least: int = 40, bits: int =
     shared = cut(shared)
     docs = docs.drop("n_lines", "n_dropped")
     if shared.count() <= max_broadcast:
-        return _apply(docs, _broadcast_drops(shared, least), least)
+        return _apply(docs, _broadcast_drops(shared, least), "", least)
     key_cols = [F.col("k1"), F.col("k2")]
-    drops = found.distinct().join(shared, ["k1", "k2"]).where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_list(F.struct(*key_cols)).alias("_drops"))
-    joined = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(drops.withColumnRenamed("doc_id", "_key"), "_key", "left").drop("_key")
-    return _apply(joined, None, least)
+    drops, own = fresh(docs, "_drops"), fresh(docs, "_key")
+    by_doc = found.distinct().join(shared, ["k1", "k2"]).where("doc_id <> keeper").groupBy(F.col("doc_id").alias(own)).agg(F.collect_list(F.struct(*key_cols)).alias(drops))
+    joined = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(by_doc, own, "left").drop(own)
+    return _apply(joined, None, drops, least)
 
 
 def _broadcast_drops(shared: DataFrame, least: int):
@@ -157,8 +158,9 @@ def _broadcast_drops(shared: DataFrame, least: int):
     return shared.sparkSession.sparkContext.broadcast(cols)
 
 
-def _apply(docs: DataFrame, drops, least: int) -> DataFrame:
-    fields = [f for f in docs.schema.fields if f.name != "_drops"]
+def _apply(docs: DataFrame, drops, column: str, least: int) -> DataFrame:
+    """`drops`: sorted keys and who keeps them, broadcast; or None, and `column` has each document's keys to drop."""
+    fields = [f for f in docs.schema.fields if f.name != column]
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields] + [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     names = [f.name for f in schema.fields]
 
@@ -180,7 +182,7 @@ def _apply(docs: DataFrame, drops, least: int) -> DataFrame:
                 hit[same] = k2[i[same]] == h[same, 1]
                 out[hit] = keeper[i[hit]] != ids[at[hit, 0]]
                 i = np.where(same, i + 1, len(k1))
-        own = [{(d["k1"], d["k2"]) for d in x or []} for x in batch.column(batch.schema.names.index("_drops")).to_pylist()]
+        own = [{(d["k1"], d["k2"]) for d in x or []} for x in batch.column(batch.schema.names.index(column)).to_pylist()]
         return np.fromiter(((int(a), int(b)) in own[i] for (a, b), i in zip(h, at[:, 0], strict=True)), bool, len(h))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +194,7 @@ def _apply(docs: DataFrame, drops, least: int) -> DataFrame:
             for i, j in at[gone]:
                 lines[i][j] = None
             kept = [b"\n".join(x) if not n else b"\n".join(y for y in x if y is not None) for x, n in zip(lines, n_dropped, strict=True)]
-            out = {n: batch.column(batch.schema.names.index(n)) for n in batch.schema.names if n != "_drops"}
+            out = {n: batch.column(batch.schema.names.index(n)) for n in batch.schema.names if n != column}
             out |= {"text": pa.array(kept, pa.binary()).cast(pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}
             yield pa.RecordBatch.from_arrays([out[n] for n in names], names)
 

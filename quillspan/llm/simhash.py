@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import batches, cut, texts
+from quillspan.llm.common import batches, cut, texts, without
 from quillspan.llm.graph import components
 
 TILE = 1024
@@ -275,5 +275,4 @@ def drop_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     A null doc_id is the smallest. Of repeated rows under that doc_id all stay, as no column tells them
     apart; different texts under one doc_id stay or go together."""
     found = clusters(docs, shingle, wide_radius(similarity), WIDE, max_group=max_group)
-    gone = found.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return without(docs, found.where("not (doc_id <=> component_id)"))

@@ -27,8 +27,6 @@ texts are documents of their own; an empty table gives no rows; extra columns ar
 
 from __future__ import annotations
 
-import gc
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import ensure_checkpoint_dir, texts
+from quillspan.llm.common import texts, written
 
 SPAN = 100  # bytes of a repeat
 GRAM = 32  # bytes of an anchor
@@ -50,7 +48,6 @@ NO_ID = -(1 << 63)
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _PI = np.uint64(pow(int(_P), -1, 1 << 64))
-CHUNK = 1 << 20
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -220,8 +217,10 @@ def merge_repeats(contexts: list[bytes], order: np.ndarray) -> np.ndarray:
     place = np.arange(n)
     left = ends[own] - place  # bytes from here to the context's end
     four = text[:n] << np.uint64(24) | text[1 : n + 1] << np.uint64(16) | text[2 : n + 2] << np.uint64(8) | text[3 : n + 3]
-    eight = four << np.uint64(32) | np.concatenate([four[4:], np.zeros(4, np.uint64)])
-    first, symbol = _ranks(four, left < 8), _ranks(eight, left < 8)
+    # symbols of 8 bytes, in an order that refines that of the first 4; one that the context's end cuts is unique
+    first = _ranks(four, left < 4)
+    then = np.where(left < 8, np.uint64(1 << 33) | place.astype(np.uint64), np.concatenate([four[4:], np.zeros(4, np.uint64)]))
+    symbol = _ranks(first.astype(np.uint64) << np.uint64(34) | then, None)
 
     def ahead(k: int) -> np.ndarray:
         """The place k bytes on, around the end of the context."""
@@ -257,9 +256,9 @@ def merge_repeats(contexts: list[bytes], order: np.ndarray) -> np.ndarray:
     at[np.argsort(source, kind="stable")] = np.arange(n)
     merged_suffixes = suffixes[at]
     heads = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-    least = np.minimum.reduceat(order[merged_suffixes], heads)
+    order = np.where(left >= SPAN, order, np.iinfo(np.int64).max)[merged_suffixes]  # what wraps around is no window
     out = np.empty(n, bool)
-    out[merged_suffixes] = order[merged_suffixes] > least[block]
+    out[merged_suffixes] = order > np.minimum.reduceat(order, heads)[block]
     return out & (left >= SPAN)
 
 
@@ -375,30 +374,17 @@ def _apply(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary()), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], names)
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """`df` as a table in the shared checkpoint folder, gone when the driver ends. Frees the shuffles behind it."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    gc.collect()
-    spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, kept, n_bytes, n_removed, n_spans); kept: the bytes left, which may break a character."""
     docs = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("th", F.xxhash64("text").bitwiseAND(0x7FFFFFFF).cast("int"))
     local = docs.select("doc", "th", "text").mapInArrow(_local, ANCHORS)
     target = F.when((F.col("h") == 0) & (F.col("c") == 0), F.xxhash64("doc", "at")).otherwise(F.col("h"))
-    places = _written(local.repartition(target).sortWithinPartitions(*COLUMNS).mapInArrow(_across, ANCHORS))
+    places = written(local.repartition(target).sortWithinPartitions(*COLUMNS).mapInArrow(_across, ANCHORS))
     known = "h = 0 and c = 0"
     wanted = places.where(f"not ({known})").groupBy("doc", "th").agg(F.collect_list(F.struct("h", "at")).alias("wanted"))
     contexts = docs.select("doc", "th", "text").join(wanted.hint("shuffle_hash"), ["doc", "th"]).select("doc", "th", "text", "wanted").mapInArrow(_contexts, "h long, doc long, th int, at long, context binary")
-    merged = _written(contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_merge, ANCHORS))
+    merged = written(contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_merge, ANCHORS))
     windows = merged.where(f"not ({known})")
     gone = places.where(known).unionByName(merged.where(known)).select("doc", "th", "at")
     if windows.limit(1).count():

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspan.llm.common import batches, cut, texts
+from quillspan.llm.common import cut, fresh, texts, without
 
 WINDOW, STEP, LEVEL = 64, 48, 12
 MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
@@ -155,7 +155,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
 
 def score(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> DataFrame:
     """`docs` without text, with held_out, score and predicted."""
-    docs = docs.drop("held_out", "score", "predicted", "_x")
+    docs = docs.drop("held_out", "score", "predicted")
+    own = fresh(docs, "_x")
     known = F.broadcast(cut(labelled(labels, max_labelled)))  # 2 * max_labelled rows at most
     content = dictionaries(segment_counts(docs.select("doc_id", "text").join(known, "doc_id")))
     fields = [f for f in docs.schema.fields if f.name != "text"]
@@ -168,21 +169,20 @@ def score(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> Dat
         by = Distance(*held.value)
         for b in it:
             x = pa.array([by.features(t) for t in texts(b.column(b.num_columns - 1))], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], x], [*b.schema.names[:-1], "_x"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], x], [*b.schema.names[:-1], own])
 
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields] + [T.StructField("_x", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields] + [T.StructField(own, T.ArrayType(T.DoubleType()))])
     rows = cut(rest.mapInArrow(run, schema))
-    known_rows = rows.select("doc_id", "_x").join(known, "doc_id").select("_x", "toxic").toArrow()
-    x, y = np.array(known_rows.column("_x").to_pylist(), float).reshape(-1, N_FEATURES), known_rows.column("toxic").to_numpy().astype(float)
+    known_rows = rows.select("doc_id", own).join(known, "doc_id").select(own, "toxic").toArrow()
+    x, y = np.array(known_rows.column(own).to_pylist(), float).reshape(-1, N_FEATURES), known_rows.column("toxic").to_numpy().astype(float)
     mean, scale, w = fit_logistic(x, y) if len(x) else (np.zeros(N_FEATURES), np.ones(N_FEATURES), np.array([0.0] * N_FEATURES + [-30.0]))
     z = F.lit(float(w[-1]))
     for i in range(N_FEATURES):
-        z = z + (F.col("_x")[i] - float(mean[i])) / float(scale[i]) * float(w[i])
+        z = z + (F.col(own)[i] - float(mean[i])) / float(scale[i]) * float(w[i])
     out = rows.withColumn("held_out", held_out()).withColumn("score", 1 / (1 + F.exp(-z)))
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop("_x")
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop(own)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> DataFrame:
     """`docs` without the documents predicted to be toxic. A null doc_id is judged by its text as well."""
-    ids = score(docs.select("doc_id", "text"), labels, max_labelled).where("predicted = 1").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_anti")
+    return without(docs, score(docs.select("doc_id", "text"), labels, max_labelled).where("predicted = 1"))
