@@ -10,7 +10,9 @@ from __future__ import annotations
 import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from quillspan.functions.scoring import Bm25
 from quillspan.functions.scoring import idf as term_idf
 from quillspan.functions.text import INDEX_STOP_WORDS, QUERY_STOP_WORDS, normalize_query
 from quillspan.operators import ranking, snippets, vectors
-from quillspan.operators.index import Index
+from quillspan.operators.index import Index, term_df
 from quillspan.plans import language
 
 MAX_QUERY, MAX_LIMIT, DEFAULT_LIMIT = 100, 500, 10
@@ -93,22 +95,37 @@ class SearchEngine:
         self.index, self.vectors, self.embedder, self.corrector, self.o = index, vectors, embedder, corrector, options
         self.spark = index.docs.sparkSession
         self.vector_search = vector_search or (self.exact if vectors is not None else None)
+        self._held: list[DataFrame] = []
 
     def exact(self, queries: list[tuple[int, list[float]]], n: int) -> DataFrame:
         asked = self.spark.createDataFrame([(q, [float(x) for x in v]) for q, v in queries], "query_id bigint, vector array<double>")
         return vectors.knn(self.vectors, asked, n)
 
-    def weights(self, terms: set[str]) -> dict[str, float]:
-        """idf of the terms that the index has."""
-        p = self.o.bm25
-        rows = self.index.terms.where(F.col("term").isin(sorted(terms))).crossJoin(F.broadcast(self.index.stats.select("num_docs")))
-        return {r.term: r.idf for r in rows.select("term", term_idf(F.col("num_docs"), F.col("df"), p.clamp_idf).alias("idf")).collect()}
+    @cached_property
+    def stats(self) -> DataFrame:
+        """The row of corpus statistics, read once."""
+        return self.spark.createDataFrame([tuple(self.index.stats.select("num_docs", "avg_title_len", "avg_body_len").first())], "num_docs bigint, avg_title_len double, avg_body_len double")
 
-    def matched(self, queries: list[Prepared], idf: dict[str, float]) -> tuple[DataFrame, DataFrame]:
-        """(matched (query_id, doc_id), postings of all the queries' terms)."""
-        o, spark = self.o, self.spark
+    def slice(self, queries: list[Prepared]) -> DataFrame:
+        """Postings of the queries' terms, kept until `release` as each step of a search reads them."""
         used = {t for q in queries for t in (*q.terms, *(t for t, _ in q.phrase), *(t for c in q.clauses for s in c for t in s))}
-        posts = self.index.postings.where(F.col("term").isin(sorted(used)))
+        posts = self.index.postings.where(F.col("term").isin(sorted(used))).persist(StorageLevel.MEMORY_AND_DISK)
+        self._held.append(posts)
+        return posts
+
+    def release(self) -> None:
+        """Let go of the postings that searches have kept."""
+        while self._held:
+            self._held.pop().unpersist()
+
+    def weights(self, posts: DataFrame) -> dict[str, float]:
+        """idf of the terms in a slice."""
+        rows = term_df(posts).crossJoin(F.broadcast(self.stats.select("num_docs")))  # one row
+        return {r.term: r.idf for r in rows.select("term", term_idf(F.col("num_docs"), F.col("df"), self.o.bm25.clamp_idf).alias("idf")).collect()}
+
+    def matched(self, queries: list[Prepared], posts: DataFrame, idf: dict[str, float]) -> DataFrame:
+        """(query_id, doc_id) that the queries match."""
+        o, spark = self.o, self.spark
         cand = [(q.query_id, t, r) for q in queries for r, t in enumerate(candidate_terms(q.terms, idf, o))]
         allowed = ranking.candidates(posts, spark.createDataFrame(cand, "query_id bigint, term string, term_rank int"), o.per_term, o.candidates)
         # boolean and plain queries: the terms that a document has, as a bit mask, against the clauses' masks
@@ -129,15 +146,16 @@ class SearchEngine:
         asked = spark.createDataFrame(places, "query_id bigint, term string, off int, n_terms int")
         at = posts.join(F.broadcast(asked), "term").join(allowed, ["query_id", "doc_id"], "left_semi").select("query_id", "doc_id", "off", "n_terms", F.explode("positions").alias("pos"))
         starts = at.groupBy("query_id", "doc_id", (F.col("pos") - F.col("off")).alias("start"), "n_terms").agg(F.count("*").alias("n"))
-        return boolean.unionByName(starts.where("n = n_terms").select("query_id", "doc_id").distinct()), posts
+        return boolean.unionByName(starts.where("n = n_terms").select("query_id", "doc_id").distinct())
 
     def lexical(self, queries: list[Prepared], limit: int) -> tuple[DataFrame, DataFrame]:
         """(ranked (query_id, doc_id, score, rank), postings of the queries' terms)."""
-        idf = self.weights({t for q in queries for t in q.terms})
-        matched, posts = self.matched(queries, idf)
+        posts = self.slice(queries)
+        idf = self.weights(posts)
+        matched = self.matched(queries, posts, idf)
         scoring = [(q.query_id, t, idf[t], 1) for q in queries for t in scoring_terms(q.terms, idf, self.o.bm25)]
         terms = self.spark.createDataFrame(scoring, "query_id bigint, term string, idf double, weight int")
-        scores = ranking.score_bm25(matched, posts, terms, self.index.lengths, self.index.stats, self.index.docs.select("doc_id", "title"), self.o.bm25, self.index.analyzer)
+        scores = ranking.score_bm25(matched, posts, terms, self.index.lengths, self.stats, self.index.docs.select("doc_id", "title"), self.o.bm25, self.index.analyzer)
         return ranking.ranked(scores, limit, F.desc("score"), "doc_id"), posts
 
     def search_many(self, queries: list[tuple[int, str]], limit: int = DEFAULT_LIMIT, query_vectors: dict[int, list[float]] | None = None) -> DataFrame:
@@ -170,6 +188,7 @@ class SearchEngine:
         if not 1 <= limit <= MAX_LIMIT:
             raise ValueError(f"a limit is 1 to {MAX_LIMIT}")
         rows = self.search_many([(0, text)], limit, None if vector is None else {0: vector}).drop("query_id", "rank").collect()
+        self.release()
         fixed = self.corrector(text.strip()) if self.corrector else None
         return SearchResponse(rows, fixed if fixed != text.strip() else None)
 

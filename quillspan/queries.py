@@ -111,7 +111,8 @@ def _boolean(text: str) -> Callable:
     def run(spark, d):
         engine = SearchEngine(Index.build(documents(spark, d)), options=Options(restem=False, per_term=1 << 30, candidates=1 << 30, candidate_idf=-1e9, max_candidate_terms=64))
         own = [prepare(0, text, "raw", engine.o)]
-        return engine.matched(own, engine.weights(set(own[0].terms)))[0].select("doc_id")
+        kept = engine.slice(own)
+        return engine.matched(own, kept, engine.weights(kept)).select("doc_id")
 
     return run
 
