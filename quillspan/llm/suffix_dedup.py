@@ -13,8 +13,10 @@
    without sorting suffixes anew; 12 rounds settle 100 bytes. A place where neighbours first differ in round
    r has a common prefix shorter than 4 + 8r; runs without such a place are the repeated intervals, and all
    their windows but the first are repeats.
-3. A single anchor whose contexts exceed MAX_BLOCK bytes is not held in memory: its windows go, as 128-bit
-   hashes, to an aggregation of their own.
+3. An anchor in a passage that very many documents share has about as many contexts as they are. A task that
+   meets many different ones of an anchor deals them out by context, not by anchor, and sends a mark; the other
+   tasks' contexts of marked anchors join them. Their windows go, as 128-bit hashes, to an aggregation with partial
+   sums, and so do those of a single anchor whose contexts exceed MAX_BLOCK bytes.
 4. The repeats' byte ranges meet their documents, and covered bytes are removed.
 
 Order is by doc_id, a hash of the text (only for rows that share a doc_id), and start. Comparisons of whole
@@ -44,6 +46,8 @@ BLOCK = 1 << 16  # bytes of contexts, of several anchors, that are merged togeth
 MAX_BLOCK = 1 << 19  # bytes of one anchor's contexts
 SHARDS = 4
 HELD = 1 << 20  # anchors that a task holds before it sends them
+CROWD = (8, 0.002, 64)  # an anchor is crowded with a share of the held contexts, within these bounds
+HOT = 1 << 62  # set in `at` for contexts of crowded anchors
 NO_ID = -(1 << 63)
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -148,9 +152,14 @@ def _local(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort(cols[::-1])
         cols = [x[order] for x in cols]
         first, again = _repeats(*cols)
-        for x in cols[:2]:
-            x[again] = 0
-        return _batch(tuple(x[first | again] for x in cols))
+        h, c, doc, th, at = cols
+        crowded, n_own = np.unique(h[first], return_counts=True)
+        crowded = crowded[n_own >= np.clip(CROWD[1] * len(h), CROWD[0], CROWD[2])]
+        at[first & np.isin(h, crowded)] |= HOT
+        h[again] = c[again] = 0
+        rows, marks = first | again, np.zeros(len(crowded), np.int64)
+        marks = (crowded, np.full(len(crowded), NO_ID), marks, marks, marks)
+        return _batch(tuple(np.concatenate([x[rows], m]) for x, m in zip((h, c, doc, th, at), marks, strict=True)))
 
     for b in it:
         docs, ths, own = b.column(0).to_numpy(), b.column(1).to_numpy(), texts(b.column(2))
@@ -171,38 +180,61 @@ def _local(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+class _Firsts:
+    """Sorted rows -> the first place of each context, of anchors with several contexts; others are repeats."""
+
+    def __init__(self, all_firsts: bool):
+        self.all = all_firsts  # each anchor counts as one with several
+        self.last: tuple | None = None  # the last first place so far, and whether it is sent
+        self.sent = False
+        self.marked = NO_ID  # the last marked anchor
+
+    def rows(self, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        mark = (cols[4] & 255) == 0
+        marks = cols[0][mark]
+        cols = [x[~mark] for x in cols]
+        if len(marks) and self.last is not None and not len(cols[0]):
+            self.marked = int(marks[-1])
+        if not len(cols[0]):
+            return
+        if self.last is not None:
+            cols = [np.concatenate([[y], x]) for x, y in zip(cols, self.last, strict=True)]
+        first, again = _repeats(*cols)  # the row carried over is a first
+        if again.any():
+            zero = np.zeros(int(again.sum()), np.int64)
+            yield _batch((zero, zero, *(x[again] for x in (*cols[2:4], cols[4] & ~HOT))))
+        k = np.flatnonzero(first)
+        h = cols[0][k]
+        same = h[1:] == h[:-1]
+        hot = np.isin(h, np.append(marks, self.marked)) if len(marks) or self.marked != NO_ID else np.zeros(len(k), bool)
+        send = np.append(same, False) | np.concatenate([[False], same]) | hot | self.all
+        known = send.copy()  # also what was sent with an earlier batch
+        if self.last is not None:
+            known[0] |= self.sent
+            if self.sent and len(k) > 1 and same[0]:
+                send[1] = True
+            send[0] &= not self.sent
+        if send.any():
+            own = [x[k[send]] for x in cols]
+            own[4] = np.where(hot[send], own[4] | HOT, own[4])
+            yield _batch(tuple(own))
+        self.last, self.sent = tuple(x[k[-1]] for x in cols), bool(known[-1])
+        if len(marks):
+            self.marked = int(marks[-1])
+
+
 def _across(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by COLUMNS -> the same columns: repeats with h = c = 0, and the first places of the contexts of
     anchors that have several, with h."""
-    last: tuple | None = None  # the row before, and whether its anchor has had a second context
-    several = False
+    plain, hot = _Firsts(False), _Firsts(True)
     for b in it:
         cols = [b.column(i).to_numpy() for i in range(5)]
         known = (cols[0] == 0) & (cols[1] == 0)
         if known.any():
             yield _batch((*(np.zeros(int(known.sum()), np.int64),) * 2, *(x[known] for x in cols[2:])))
-            cols = [x[~known] for x in cols]
-        if not len(cols[0]):
-            continue
-        if last is not None:
-            cols = [np.concatenate([[y], x]) for x, y in zip(cols, last, strict=True)]
-        first, again = _repeats(*cols)  # the row carried over is a first
-        if again.any():
-            zero = np.zeros(int(again.sum()), np.int64)
-            yield _batch((zero, zero, *(x[again] for x in cols[2:])))
-        firsts = np.flatnonzero(first)
-        fh = cols[0][firsts]
-        more = np.concatenate([fh[1:] == fh[:-1], [False]]) | np.concatenate([[several], fh[1:] == fh[:-1]])
-        send = more.copy()
-        if last is not None:
-            send[0] = more[0] and not several  # sent already if several
-        # the last first may get company in the next batch
-        held_over = firsts[-1]
-        was_several = bool(more[-1])
-        if send.any():
-            k = firsts[send]
-            yield _batch(tuple(x[k] for x in cols))
-        last, several = tuple(x[held_over] for x in cols), was_several
+        dealt = ~known & (cols[4] >= HOT)
+        yield from hot.rows([x[dealt] for x in cols])
+        yield from plain.rows([x[~known & ~dealt] for x in cols])
 
 
 def merge_repeats(contexts: list[bytes], order: np.ndarray) -> np.ndarray:
@@ -284,7 +316,8 @@ def _contexts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for doc, th, t, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2)), b.column(3).to_pylist(), strict=True):
             for x in wanted:
-                a, k = x["at"] >> 8, x["at"] & 255
+                at = x["at"] & ~HOT
+                a, k = at >> 8, at & 255
                 rows.append((x["h"], doc, th, x["at"], t[a : a + k + SPAN - 1]))
             size += 200 * len(wanted)
             if size > 1 << 24:
@@ -299,6 +332,7 @@ def _merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     being a window's hash."""
     held: list[tuple] = []  # whole anchors of the coming block
     own: list[tuple] = []  # the anchor that is being read
+    dealt: list[tuple] = []  # contexts of crowded anchors
     size, own_size, large = 0, 0, False
 
     def block(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -329,6 +363,12 @@ def _merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in it:
         for r in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            if r[3] >= HOT:
+                dealt.append((*r[:3], r[3] & ~HOT, r[4]))
+                if len(dealt) == 512:
+                    yield from windows(dealt)
+                    dealt = []
+                continue
             if own and r[0] != own[0][0]:
                 if large:
                     yield from windows(own)
@@ -345,6 +385,7 @@ def _merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from windows(own)
                 own, own_size, large = own[-1:], 0, True
                 own[0] = (*own[0][:4], b"")
+    yield from windows(dealt)
     if large:
         yield from windows(own)
         own = []
@@ -379,12 +420,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("th", F.xxhash64("text").bitwiseAND(0x7FFFFFFF).cast("int"))
     local = docs.select("doc", "th", "text").mapInArrow(_local, ANCHORS)
-    target = F.when((F.col("h") == 0) & (F.col("c") == 0), F.xxhash64("doc", "at")).otherwise(F.col("h"))
+    target = F.when((F.col("h") == 0) & (F.col("c") == 0), F.xxhash64("doc", "at")).when(F.col("at") >= HOT, F.xxhash64("h", "c")).otherwise(F.col("h"))
     places = written(local.repartition(target).sortWithinPartitions(*COLUMNS).mapInArrow(_across, ANCHORS))
     known = "h = 0 and c = 0"
     wanted = places.where(f"not ({known})").groupBy("doc", "th").agg(F.collect_list(F.struct("h", "at")).alias("wanted"))
     contexts = docs.select("doc", "th", "text").join(wanted.hint("shuffle_hash"), ["doc", "th"]).select("doc", "th", "text", "wanted").mapInArrow(_contexts, "h long, doc long, th int, at long, context binary")
-    merged = written(contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_merge, ANCHORS))
+    dealt = F.when(F.col("at") >= HOT, F.xxhash64("h", "doc", "at")).otherwise(F.col("h"))
+    merged = written(contexts.repartition(dealt).sortWithinPartitions("h").mapInArrow(_merge, ANCHORS))
     windows = merged.where(f"not ({known})")
     gone = places.where(known).unionByName(merged.where(known)).select("doc", "th", "at")
     if windows.limit(1).count():

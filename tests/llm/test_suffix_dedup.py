@@ -61,6 +61,39 @@ def test_runs_of_one_byte(spark, save):
     check(spark, save, [(1, "a" * 99), (2, "a" * 100), (3, "a" * 101), (4, "a" * 5000), (5, "ab" * 300), (6, "b" * 50 + "a" * 250 + "b" * 50), (7, None), (8, "")])
 
 
+@pytest.mark.parametrize("parts", [1, 6])
+def test_crowded_anchors(spark, save, parts):
+    rng = random.Random(7)
+    own = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = own(150)
+    rows = [(i, own(rng.randint(0, 130)) + (shared[rng.randint(0, 20) : 150 - rng.randint(0, 20)] if i % 4 else shared) + own(rng.randint(0, 130))) for i in range(150)]
+    check(spark, save, rows + [(1000 + i, own(200)) for i in range(40)] + [(2000, rows[3][1]), (2001, shared)], parts)
+
+
+def test_firsts_over_any_batches():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        n = 40
+        h = rng.integers(1, 7, n)
+        cols = [h, rng.integers(1, 4, n), rng.integers(0, 5, n), np.zeros(n, np.int64), rng.integers(0, 3, n) << 8 | 5]
+        marks = np.unique(rng.integers(1, 12, rng.integers(0, 3)))
+        cols = [np.concatenate([x, m]) for x, m in zip(cols, (marks, np.full(len(marks), suffix_dedup.NO_ID), *[np.zeros(len(marks), np.int64)] * 3), strict=True)]
+        cols = [x[np.lexsort(cols[::-1])] for x in cols]
+        got, firsts = [], suffix_dedup._Firsts(False)
+        cuts = [0, *sorted(rng.integers(0, len(cols[0]), 3).tolist()), len(cols[0])]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            for out in firsts.rows([x[a:b].copy() for x in cols]):
+                got += list(zip(*(out.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True))
+        rows = sorted({(x, y, d, at) for x, y, d, at in zip(*(cols[i].tolist() for i in (0, 1, 2, 4)), strict=True) if at & 255})
+        first = {}
+        for r in rows:
+            first.setdefault(r[:2], r)
+        several = {x for x in h.tolist() if len({k for k in first if k[0] == x}) > 1 or x in marks}
+        want = [(0, 0, *r[2:]) for r in rows if first[r[:2]] != r] + [(*r[:3], r[3] | suffix_dedup.HOT * int(r[0] in marks)) for r in first.values() if r[0] in several]
+        assert sorted(set(got)) == sorted(set(want))
+        assert len([x for x in got if x[0]]) == len({x for x in got if x[0]})
+
+
 def test_large_anchor_goes_by_window(spark, save, monkeypatch):
     rng = random.Random(9)
     core = "".join(rng.choice("abcdefghij") for _ in range(90))
