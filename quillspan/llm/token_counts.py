@@ -76,6 +76,5 @@ def truncated_total(hist: DataFrame, limit: int) -> DataFrame:
 
 def quantile(hist: DataFrame, q: float) -> DataFrame:
     """One row: the least length with at least a share q of the documents at or below it."""
-    total = hist.agg(F.max("n_docs_at_least").alias("all"))
-    below = F.col("all") - F.col("n_docs_at_least") + F.col("n_docs")
-    return hist.crossJoin(F.broadcast(total)).where(below >= F.lit(q) * F.col("all")).agg(F.min("length").alias("length"))
+    total = hist.agg(F.max("n_docs_at_least")).first()[0] or 0
+    return hist.where(total - F.col("n_docs_at_least") + F.col("n_docs") >= q * total).agg(F.min("length").alias("length"))
