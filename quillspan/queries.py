@@ -144,7 +144,7 @@ def candidate_caps(spark, d):
 def _positional(distance: int) -> Callable:
     def run(spark, d):
         own = posts(spark, d)
-        out = matching.positional_intersect(matching.posting_list(own, "thon"), matching.posting_list(own, "tion"), distance)
+        out = matching.positional_intersect(matching.posting_list(own, "de"), matching.posting_list(own, "la"), distance)
         return out.select("doc_id", "tf", F.array_join(F.transform("positions", lambda p: p.cast("string")), " ").alias("positions"))
 
     return run
@@ -166,7 +166,7 @@ def phrases(spark, d):
 
 @query
 def phrase_search(spark, d):
-    return matching.phrase(posts(spark, d), ["thon", "tion"]).select("doc_id", "tf")
+    return matching.phrase(posts(spark, d), ["anea", "eriner", "thanea"]).select("doc_id", "tf")
 
 
 @query
@@ -221,7 +221,7 @@ def _search(text: str) -> Callable:
 
 
 QUERIES["search_plain"] = _search("thon tion")
-QUERIES["search_quoted"] = _search('"tion thon"')
+QUERIES["search_quoted"] = _search('"eriner thanea"')
 QUERIES["search_boolean"] = _search("(thon OR tion) AND NOT elle")
 
 

@@ -76,7 +76,7 @@ def _search(words: tuple[str, ...], where: str) -> str:
     ) + _top()
 
 
-_NEXT = "doc_id IN (SELECT x.doc_id FROM tokens x JOIN tokens y ON x.doc_id = y.doc_id AND y.pos = x.pos + 1 WHERE x.term = 'tion' AND y.term = 'thon')"
+_NEXT = "doc_id IN (SELECT x.doc_id FROM tokens x JOIN tokens y ON x.doc_id = y.doc_id AND y.pos = x.pos + 1 WHERE x.term = 'eriner' AND y.term = 'thanea')"
 _E = "e AS (SELECT vec_id AS doc_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
 _SUM = lambda expr: f"list_sum(list_transform(range(1, len(e.v) + 1), lambda i: {expr}))"
 
@@ -113,15 +113,15 @@ ORACLE_SQL = {
     "find_docs_or_tf": _with(_DOCS, _TOKENS, _PAIR) + "SELECT doc_id, sum(tf)::INT AS tf FROM (SELECT doc_id, tf FROM a UNION ALL SELECT doc_id, tf FROM b) GROUP BY doc_id",
     "find_docs_not_tf": _with(_DOCS, _TOKENS, _PAIR) + "SELECT doc_id, tf FROM a WHERE doc_id NOT IN (SELECT doc_id FROM b)",
     "candidate_caps": _with(_DOCS, _TOKENS, "c AS (SELECT *, CASE term WHEN 'thon' THEN 0 ELSE 1 END AS t, row_number() OVER (PARTITION BY term ORDER BY doc_id) AS n FROM postings WHERE term IN ('thon', 'tion'))") + "SELECT doc_id FROM (SELECT doc_id, min(t) AS t FROM c WHERE n <= 40 GROUP BY doc_id) ORDER BY t, doc_id LIMIT 60",
-    **{f"positional_intersect_d{k}": _D + f"SELECT x.doc_id, count(*)::INT AS tf, string_agg(x.pos::VARCHAR, ' ' ORDER BY x.pos) AS positions FROM tokens x JOIN tokens y ON x.doc_id = y.doc_id AND y.pos = x.pos + {k} WHERE x.term = 'thon' AND y.term = 'tion' GROUP BY x.doc_id" for k in (1, 3)},
+    **{f"positional_intersect_d{k}": _D + f"SELECT x.doc_id, count(*)::INT AS tf, string_agg(x.pos::VARCHAR, ' ' ORDER BY x.pos) AS positions FROM tokens x JOIN tokens y ON x.doc_id = y.doc_id AND y.pos = x.pos + {k} WHERE x.term = 'de' AND y.term = 'la' GROUP BY x.doc_id" for k in (1, 3)},
     "phrases": _with(_DOCS, _TOKENS, f"firsts AS (SELECT item_id AS query_id, list_slice({_words('text')}, 1, 3) AS w FROM benchmark)", "asked AS (SELECT query_id, unnest(w) AS term, unnest(range(3)) AS off FROM firsts WHERE len(w) = 3)") + "SELECT query_id, doc_id, count(*)::BIGINT AS tf FROM (SELECT query_id, doc_id, pos - off AS start FROM tokens JOIN asked USING (term) GROUP BY ALL HAVING count(*) = 3) GROUP BY ALL",
-    "phrase_search": _D + "SELECT x.doc_id, count(*)::INT AS tf FROM tokens x JOIN tokens y ON x.doc_id = y.doc_id AND y.pos = x.pos + 1 WHERE x.term = 'thon' AND y.term = 'tion' GROUP BY x.doc_id",
+    "phrase_search": _D + "SELECT x.doc_id, count(*)::INT AS tf FROM tokens x JOIN tokens y ON x.doc_id = y.doc_id AND y.pos = x.pos + 1 JOIN tokens z ON x.doc_id = z.doc_id AND z.pos = x.pos + 2 WHERE x.term = 'anea' AND y.term = 'eriner' AND z.term = 'thanea' GROUP BY x.doc_id",
     "phrase_with_stopword": _D + "SELECT x.doc_id, count(*)::INT AS tf FROM tokens x JOIN tokens y ON x.doc_id = y.doc_id AND y.pos = x.pos + 1 WHERE x.term = 'the' AND y.term = 'thon' GROUP BY x.doc_id",
     "bm25_body_topk": _with(_DOCS, _TOKENS, _scores(_ASKED, _ANY, False)) + _top(),
     "bm25_fielded_topk": _with(_PAGES, _TOKENS, _scores(_ASKED, _ANY, True)) + _top(),
     "rrf_fusion": _with(_DOCS, _TOKENS, _scores(_ASKED, _ANY, False), _E, f"near AS (SELECT e.doc_id, {_L2} AS distance FROM e CROSS JOIN (SELECT * FROM e ORDER BY doc_id LIMIT 1) q)", f"l AS ({_top()})", "s AS (SELECT doc_id, row_number() OVER (ORDER BY distance, doc_id) AS rank FROM near QUALIFY rank <= 20)", "f AS (SELECT doc_id, coalesce(1.0 / (60 + l.rank), 0) + coalesce(1.0 / (60 + s.rank), 0) AS score, s.rank AS own FROM l FULL JOIN s USING (doc_id))") + "SELECT doc_id, round(score, 9) AS score, row_number() OVER (ORDER BY score DESC, own NULLS LAST, doc_id)::INT AS rank FROM f QUALIFY rank <= 20",
     "search_plain": _search(("thon", "tion"), f"{_HAS('thon')} AND {_HAS('tion')}"),
-    "search_quoted": _search(("tion", "thon"), _NEXT),
+    "search_quoted": _search(("eriner", "thanea"), _NEXT),
     "search_boolean": _search(("thon", "tion"), f"({_HAS('thon')} OR {_HAS('tion')}) AND NOT {_HAS('elle')}"),
     "snippet_hits": _D + f"SELECT doc_id, string_agg(pos || ':' || term, ' ' ORDER BY pos) AS hits FROM tokens WHERE term IN ({_TERMS}) GROUP BY doc_id",
     "knn_ip": _knn(_SUM("e.v[i] * q.v[i]"), "DESC"),
