@@ -8,8 +8,8 @@ So that tiles don't have to be all of n^2 / 2, each fingerprint goes to the grou
 the radius must share with it:
 * 64 bits at a radius of 3 or less: a pair agrees in one of four 16-bit blocks, and the other 48 bits in one of
   four 12-bit blocks: 16 groups under 28-bit keys, which lose no pair.
-* wide fingerprints (8 words of 64 bits) for a similarity such as 0.8, where the radius is too large for
-  that: groups by bands of minimum hashes of the same shingles (8 bands of 3).
+* wide fingerprints (8 words of 64 bits, of each text's distinct shingles) for a similarity such as 0.8, where
+  the radius is too large for that: groups by bands of minimum hashes of the same shingles (8 bands of 3).
 A group of over `max_group` members is split into tile pairs that are dealt out as groups of their own.
 Groups report spanning links only; components come from contraction of these links, see graph.py.
 
@@ -222,6 +222,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, seed: int =
         fps, keys = [], []
         for t in texts(b.column(1)):
             h = shingle_hashes(t, shingle, seed)
+            if words > 1:  # stands for a set
+                h = np.unique(h)
             fps.append(np.array(fingerprint(h, words), np.uint64).tobytes())
             if with_bands:
                 keys.append(bands(h))

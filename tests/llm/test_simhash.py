@@ -100,3 +100,13 @@ def test_many_hashes_and_ties():
     bits = (h[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
     assert simhash._majority(h) == sum(1 << b for b in range(64) if 2 * int(bits[:, b].sum()) > len(h))
     assert simhash._majority(np.array([1, 2], np.uint64)) == 0
+
+
+def test_repeats_do_not_part_equal_sets(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(20):
+        head, line, tail = (prose(rng, n) for n in (90, 12, 55))
+        rows += [(1000 * k + i, " ".join([head, *[line] * n, tail]), "en", "a", 1) for k, n in enumerate((2, 12))]
+    kept = {r.doc_id for r in simhash.drop_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert kept == set(range(20))
