@@ -11,7 +11,8 @@
    whose cosine is at least `cosine` as a candidate; there is no limit on their number.
 4. A candidate is confirmed by the longest common subsequence of words between the item and any stretch of
    1.3 item lengths: at least `sure` of the item, or at least `close` if the item's answer (its own column, or
-   else its last quarter) is there to at least `answered` in the same way.
+   else its last quarter) is there to at least `answered` in the same way. Each stretch is judged by itself, so
+   what else a document holds doesn't matter; the best accepted one is reported.
 
 Very frequent words weigh nothing, unless an item would be left with fewer than MIN_KEPT weighted words: then
 its rarest words keep their weight.
@@ -60,11 +61,12 @@ class Item:
         self.answer = answer or own[-max(4, len(own) // 4) :]
         self.masks, self.answer_masks = _masks(own), _masks(self.answer)
 
-    def best(self, region: list[bytes], hit: np.ndarray, least: float) -> tuple[float, float]:
-        """(share of the item, share of the answer) in the stretch of `region` with the most of the item.
-        hit: which words are the item's. Stretches with fewer than least x item hits can't reach that share."""
-        n = len(self.words)
-        span, best = max(n + 2, int(1.3 * n)), (0.0, 0.0)
+    def best(self, region: list[bytes], hit: np.ndarray, sure: float, close: float, answered: float) -> tuple[float, float] | None:
+        """(share of the item, share of the answer) in the accepted stretch of `region` with the most of the item,
+        None if no stretch is accepted. hit: which words are the item's. Stretches with too few hits for the
+        least share are left out."""
+        n, least = len(self.words), min(sure, close)
+        span, best = max(n + 2, int(1.3 * n)), None
         sums = np.concatenate([[0], np.cumsum(hit)])
         starts = np.flatnonzero(hit)
         starts = starts[sums[np.minimum(starts + span, len(region))] - sums[starts] >= least * n]
@@ -75,8 +77,11 @@ class Item:
             last = i
             own = region[i : i + span]
             share = lcs(self.masks, own, n) / n
-            if share > best[0]:
-                best = share, lcs(self.answer_masks, own, len(self.answer)) / len(self.answer)
+            if share < least or (best and share < best[0]):
+                continue
+            found = share, lcs(self.answer_masks, own, len(self.answer)) / len(self.answer)
+            if (share >= sure or (share >= close and found[1] >= answered)) and (best is None or found > best):
+                best = found
         return best
 
 
@@ -185,8 +190,8 @@ def leaks(docs: DataFrame, items: DataFrame, rank: int = 224, cosine: float = 0.
             rows: list[tuple] = []
             for doc, t in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
                 own = words(t)
-                found = search(own, np.fromiter(map(get, own, repeat(-1)), np.int32, len(own)), own_items, space, cosine, close)
-                rows += [(doc, own_items[i].id, c, s, a) for i, (c, s, a) in found.items() if s >= sure or (s >= close and a >= answered)]
+                found = search(own, np.fromiter(map(get, own, repeat(-1)), np.int32, len(own)), own_items, space, cosine, sure, close, answered)
+                rows += [(doc, own_items[i].id, c, s, a) for i, (c, s, a) in found.items()]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 2 + [pa.float64()] * 3, strict=True)], ["doc_id", "item_id", "cosine", "common", "answer"])
 
@@ -194,9 +199,9 @@ def leaks(docs: DataFrame, items: DataFrame, rank: int = 224, cosine: float = 0.
     return found.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("cosine", "common", "answer")))
 
 
-def search(own: list[bytes], f: np.ndarray, items: list[Item], space: Space, cosine: float, least: float) -> dict[int, tuple[float, float, float]]:
-    """item number: (cosine, common, answer) of its best passage in a document, for all candidates that may
-    reach a share of `least`. f: the words' features, or -1."""
+def search(own: list[bytes], f: np.ndarray, items: list[Item], space: Space, cosine: float, sure: float, close: float, answered: float) -> dict[int, tuple[float, float, float]]:
+    """item number: (cosine, common, answer) of its best accepted passage in a document. f: the words' features,
+    or -1."""
     place = np.flatnonzero((f >= 0) & space.kept[f])
     if len(place) < MIN_HITS:
         return {}
@@ -220,9 +225,9 @@ def search(own: list[bytes], f: np.ndarray, items: list[Item], space: Space, cos
         for k, i in zip(*np.nonzero(c >= cosine), strict=True):
             at, n = int(blocks[some[k]]) * BLOCK, len(items[i].words)
             own_at = slice(max(0, at - n), at + 2 * BLOCK + n)
-            share, answer = items[i].best(own[own_at], space.has[i, f[own_at]], least)
-            if share >= least and (i not in found or (share, answer) > found[i][1:]):
-                found[i] = float(c[k, i]), share, answer
+            best = items[i].best(own[own_at], space.has[i, f[own_at]], sure, close, answered)
+            if best and (i not in found or best > found[i][1:]):
+                found[i] = float(c[k, i]), *best
     return found
 
 

@@ -58,3 +58,25 @@ def test_lcs():
                 new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
             row = new
         assert decontam.lcs(decontam._masks(a), b, len(a)) == row[-1]
+
+
+def test_each_stretch_is_judged_by_itself(spark):
+    rng = random.Random(5)
+    own = rng.sample(sorted(set(ASCII)), 400)
+    other = sorted(set(ASCII) - set(own))  # no word of an item by chance
+    prose = lambda rng, n: some_prose(rng, n, other)
+    items, rows = [], [(i, prose(rng, 200), "en", "a", 1) for i in range(100)]
+    for k in range(10):
+        w = own[40 * k : 40 * k + 40]  # the answer is the last quarter
+        items.append((k, " ".join(w)))
+        question, answer = " ".join(w[:29]), " ".join(w[30:])
+        both = f"{' '.join(w[:15])} {prose(rng, 8)} {answer}"
+        # 0.725 without the answer in one place, 0.625 with it in another
+        rows.append((1000 + k, f"{question} {prose(rng, 300)} {both} {prose(rng, 50)}", "en", "a", 1))
+        rows.append((2000 + k, f"{both} {prose(rng, 300)} {question} {prose(rng, 50)}", "en", "a", 1))
+        # a paraphrase of over 1.3 lengths: 0.65 without the answer first, then 0.6 with it
+        rows.append((3000 + k, f"{' '.join(w[:26])} {prose(rng, 28)} {answer} {prose(rng, 200)}", "en", "a", 1))
+        rows.append((4000 + k, f"{prose(rng, 50)} {question} {prose(rng, 300)}", "en", "a", 1))  # never the answer
+    found = decontam.leaks(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, ITEM)).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(a + k, k) for a in (1000, 2000, 3000) for k in range(10)}
+    assert all(0.6 <= r.common < 0.75 <= r.answer for r in found)
