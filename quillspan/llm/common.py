@@ -60,6 +60,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def text_key():
+    """Hash of a row's text: with the doc_id, it tells rows apart by what they hold."""
+    return F.xxhash64("text")
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """`docs` but for rows whose doc_id, null included, is in `ids` (doc_id)."""
     own = fresh(docs, "_id")

@@ -9,7 +9,9 @@ the radius must share with it:
 * 64 bits at a radius of 3 or less: a pair agrees in one of four 16-bit blocks, and the other 48 bits in one of
   four 12-bit blocks: 16 groups under 28-bit keys, which lose no pair.
 * wide fingerprints (8 words of 64 bits, of each text's distinct shingles) for a similarity such as 0.8, where
-  the radius is too large for that: groups by bands of minimum hashes of the same shingles (8 bands of 3).
+  the radius is too large for that: groups by bands of minimum hashes of the same shingles (16 bands of 3).
+  Bands and a wide radius give candidates only. The shingle sets of each component of candidates are brought
+  together, and a link is accepted by the exact Jaccard similarity of two sets.
 A group of over `max_group` members is split into tile pairs that are dealt out as groups of their own.
 Groups report spanning links only; components come from contraction of these links, see graph.py.
 
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import batches, cut, texts, without
+from quillspan.llm.common import batches, cut, text_key, texts, without
 from quillspan.llm.graph import components
 
 TILE = 1024
@@ -79,7 +81,7 @@ def fingerprint(h: np.ndarray, words: int = 1) -> list[int]:
     return out
 
 
-def bands(h: np.ndarray, n: int = 8, rows: int = 3) -> list[int]:
+def bands(h: np.ndarray, n: int = 16, rows: int = 3) -> list[int]:
     """Keys of n bands, each of `rows` minimum hashes of the shingle set."""
     if not len(h):
         return [0] * n
@@ -100,13 +102,44 @@ def narrow_keys(fp: np.ndarray) -> np.ndarray:
     return np.column_stack(out).astype(np.int64)
 
 
-def connect(fps: np.ndarray, radius: int) -> np.ndarray:
-    """Component label (index of a member) of each row of `fps` (n, words)."""
+def common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """(len(a), len(b)): sizes of the intersections of sets, by products of blocks of 0 and 1."""
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+
+    (ra, ha), (rb, hb) = places(a), places(b)
+    both = np.intersect1d(ha, hb)
+    out = np.zeros((len(a), len(b)), np.float32)
+    for k in range(0, len(both), 2048):
+        block = both[k : k + 2048]
+        m = []
+        for n, r, h in ((len(a), ra, ha), (len(b), rb, hb)):
+            at = np.minimum(np.searchsorted(block, h), len(block) - 1)
+            own = block[at] == h
+            x = np.zeros((n, len(block)), np.float32)
+            x[r[own], at[own]] = 1
+            m.append(x)
+        out += m[0] @ m[1].T
+    return out.astype(np.int64)
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    n = len(np.intersect1d(a, b, assume_unique=True))
+    return n >= similarity * (len(a) + len(b) - n)
+
+
+def connect(fps: np.ndarray, radius: int, sets: list[np.ndarray] | None = None, similarity: float = 0.0) -> np.ndarray:
+    """Component label (index of a member) of each row of `fps` (n, words). With `sets`, of distinct hashes, rows
+    within the radius are linked only if their sets have the Jaccard similarity."""
     n = len(fps)
     label = np.arange(n)
     count = np.bitwise_count(fps).sum(1, dtype=np.int64)
     order = np.argsort(count, kind="stable")
     fps, count = fps[order], count[order]
+    if sets is not None:
+        sets = [sets[i] for i in order.tolist()]
+        size = np.array([len(x) for x in sets], np.int64)
     parent = np.arange(n)
 
     def find(x: int) -> int:
@@ -126,7 +159,20 @@ def connect(fps: np.ndarray, radius: int) -> np.ndarray:
             d = np.zeros((len(li), len(lj)), np.uint16)
             for w in range(fps.shape[1]):
                 d += np.bitwise_count(fps[i, w][:, None] ^ fps[j, w][None, :])
-            r, c = np.nonzero((d <= radius) & (li[:, None] != lj[None, :]))
+            near = (d <= radius) & (li[:, None] != lj[None, :])
+            if sets is not None:
+                si, sj = size[i][:, None], size[j][None, :]
+                near &= np.minimum(si, sj) >= similarity * np.maximum(si, sj)
+            r, c = np.nonzero(near)
+            if sets is not None and len(r):
+                if len(r) <= 256:
+                    own = np.fromiter((similar(sets[a + x], sets[b + y], similarity) for x, y in zip(r.tolist(), c.tolist(), strict=True)), bool, len(r))
+                else:
+                    ur, ri = np.unique(r, return_inverse=True)
+                    uc, ci = np.unique(c, return_inverse=True)
+                    both = common([sets[a + x] for x in ur.tolist()], [sets[b + y] for y in uc.tolist()])[ri, ci]
+                    own = both >= similarity * (size[a + r] + size[b + c] - both)
+                r, c = r[own], c[own]
             if not len(r):
                 continue
             for x, y in np.unique(np.column_stack([li[r], lj[c]]), axis=0):
@@ -215,24 +261,32 @@ def link(groups: DataFrame, radius: int, width: int = 1, max_group: int = 16_384
     return links.unionByName(step(dealt, 0).select("a", "b"))
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, seed: int = 42, with_bands: bool = False) -> DataFrame:
-    """(doc_id, node, fp[, keys]): fp as little-endian bytes; node stands for it, and is it for one word."""
+def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """(doc_id, node, fp): fp as little-endian bytes, and node the same as a number."""
 
     def run(b: pa.RecordBatch) -> dict:
-        fps, keys = [], []
-        for t in texts(b.column(1)):
-            h = shingle_hashes(t, shingle, seed)
-            if words > 1:  # stands for a set
-                h = np.unique(h)
-            fps.append(np.array(fingerprint(h, words), np.uint64).tobytes())
-            if with_bands:
-                keys.append(bands(h))
-        node = np.frombuffer(b"".join(fps), "<i8") if words == 1 else np.array([xxhash.xxh64_intdigest(x) for x in fps], np.uint64).view(np.int64)
-        out = {"doc_id": b.column(0), "node": node, "fp": pa.array(fps, pa.binary())}
-        return out | ({"keys": pa.array(keys, pa.list_(pa.int64()))} if with_bands else {})
-
-    schema = "doc_id long, node long, fp binary" + ", keys array<long>" * with_bands
-    return batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)
+        fps = [np.array(fingerprint(shingle_hashes(t, shingle, seed)), np.uint64).tobytes() for t in texts(b.column(1))]
+        return {"doc_id": b.column(0), "node": np.frombuffer(b"".join(fps), "<i8"), "fp": pa.array(fps, pa.binary())}
+
+    return batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, node long, fp binary")
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int, seed: int = 42) -> DataFrame:
+    """(doc_id, text_key, node, n, fp, keys) of each text's set of shingles: node stands for the set, n is its size."""
+
+    def run(b: pa.RecordBatch) -> dict:
+        own = [np.unique(shingle_hashes(t, shingle, seed)) for t in texts(b.column(2))]
+        return {
+            "doc_id": b.column(0),
+            "text_key": b.column(1),
+            "node": np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in own], np.uint64).view(np.int64),
+            "n": np.array([len(h) for h in own], np.int64),
+            "fp": pa.array([np.array(fingerprint(h, WIDE), np.uint64).tobytes() for h in own], pa.binary()),
+            "keys": pa.array([bands(h) for h in own], pa.list_(pa.int64())),
+        }
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
+    return batches(own, run, "doc_id long, text_key long, node long, n long, fp binary, keys array<long>")
 
 
 def _narrow_groups(distinct: DataFrame) -> DataFrame:
@@ -245,36 +299,102 @@ def _narrow_groups(distinct: DataFrame) -> DataFrame:
     return batches(distinct.select("node", "fp"), run, "key long, node long, fp binary")
 
 
-def clusters(docs: DataFrame, shingle: int = 3, radius: int = 3, words: int = 1, seed: int = 42, max_group: int = 16_384) -> DataFrame:
+def clusters(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: int = 42, max_group: int = 16_384) -> DataFrame:
     """(doc_id, node, fp, component_id): documents linked within the radius, by chains of links."""
-    if words == 1 and radius > 3:
+    if radius > 3:
         raise ValueError("64-bit fingerprints are grouped for a radius of 3 at most")
-    rows = cut(fingerprints(docs, shingle, words, seed, words > 1))
-    some = [F.first("keys").alias("keys")] if words > 1 else []
-    distinct = cut(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("least"), *some))
-    groups = _narrow_groups(distinct) if words == 1 else distinct.select(F.explode("keys").alias("key"), "node", "fp")
-    tree = components(link(groups, radius, words, max_group))
+    rows = cut(fingerprints(docs, shingle, seed))
+    distinct = cut(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("least")))
+    return _named(rows, distinct, link(_narrow_groups(distinct), radius, 1, max_group)).select("doc_id", "node", "fp", "component_id")
+
+
+def _named(rows: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """`rows` (doc_id, node, ...) with component_id, the smallest doc_id that `links` (a, b) reach."""
+    tree = components(links)
     own = distinct.select("node", "least").join(tree.withColumnRenamed("v", "node"), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = own.groupBy("root").agg(F.min("least").alias("component_id"))
     own = own.join(least, "root").select("node", F.when(F.col("component_id") != NO_ID, F.col("component_id")).alias("component_id"))
-    return rows.join(own, "node").select("doc_id", "node", "fp", "component_id")
+    return rows.join(own, "node")
 
 
 #: 512 bits; a pair of similarity s differs in about acos(2s / (1 + s)) / pi of them.
 WIDE = 8
+#: Shingles of a component that are compared in one task; larger ones are split into tile pairs.
+MAX_SHINGLES = 4_000_000
 
 
-def wide_radius(similarity: float, slack: float = 0.05) -> int:
-    """Bits of a wide fingerprint that differ at a shingle Jaccard similarity `slack` below the one wanted:
-    1.4 standard deviations more than at the similarity itself."""
-    s = similarity - slack
+def candidate_radius(similarity: float, slack: float = 0.35) -> int:
+    """Bits of a wide fingerprint that differ at a shingle Jaccard similarity `slack` below the one wanted. At 0.8
+    these are 146: 8 standard deviations over the mean of long texts, and 5.6 over that of sets of 5 and 4
+    shingles, which differ in the most bits (3 of 16)."""
+    s = max(similarity - slack, 0.0)
     return int(np.arccos(2 * s / (1 + s)) / np.pi * 64 * WIDE)
 
 
+def _confirmed(it: Iterator[pa.RecordBatch], radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, fp, hashes) sorted by (key, node) -> (a, b): spanning links of each group. Holds one group."""
+    key, node, fps, sets = None, [], [], []
+    a, b = [], []
+
+    def close() -> None:
+        if len(node) > 1:
+            label = connect(np.frombuffer(b"".join(fps), "<u8").reshape(-1, WIDE), radius, sets, similarity)
+            for i in np.flatnonzero(label != np.arange(len(node))).tolist():
+                a.append(node[label[i]])
+                b.append(node[i])
+        node.clear(), fps.clear(), sets.clear()
+
+    for batch in it:
+        for k, v, fp, h in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if k != key:
+                close()
+                key = k
+            if not node or node[-1] != v:  # else a repeated row
+                node.append(v), fps.append(fp), sets.append(np.frombuffer(h, "<u8"))
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            a.clear(), b.clear()
+    close()
+    if a:
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def confirm(docs: DataFrame, distinct: DataFrame, links: DataFrame, shingle: int, similarity: float, radius: int, seed: int = 42, max_shingles: int = MAX_SHINGLES) -> DataFrame:
+    """Spanning links (a, b) of nodes whose sets have the similarity. Candidates are the nodes of `distinct` (node, n,
+    fp, at: a row's doc_id and text_key) that `links` connect; only their texts are read again."""
+    members = cut(distinct.join(components(links).withColumnRenamed("v", "node"), "node").select("root", "node", "n", "fp", "at"))
+    parts = members.groupBy("root").agg(F.sum("n").alias("total")).select("root", F.when(F.col("total") > max_shingles, F.ceil(F.col("total") * 2 / max_shingles)).otherwise(1).cast("int").alias("k"))
+    asked = members.join(parts, "root").select("root", "node", "fp", "k", F.col("at.doc").alias("doc"), F.col("at.text_key").alias("text_key"))
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), text_key().alias("text_key"), "text")
+    found = own.join(asked, ["doc", "text_key"]).select("root", "node", "fp", "k", "text")
+
+    def run(b: pa.RecordBatch) -> dict:
+        sets = [np.unique(shingle_hashes(t, shingle, seed)).tobytes() for t in texts(b.column(4))]
+        return {"root": b.column(0), "node": b.column(1), "fp": b.column(2), "k": b.column(3), "hashes": pa.array(sets, pa.binary())}
+
+    sets = batches(found, run, "root long, node long, fp binary, k int, hashes binary")
+    # tiles by a hash of the node; each pair of tiles is a group
+    dealt = sets.withColumn("t", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("u", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = dealt.select(F.xxhash64("root", F.least("t", "u"), F.greatest("t", "u")).alias("key"), "node", "fp", "hashes")
+    dealt = dealt.repartition("key").sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(lambda it: _confirmed(it, radius, similarity), "a long, b long")
+
+
+def near_clusters(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_group: int = 16_384, max_shingles: int = MAX_SHINGLES) -> DataFrame:
+    """(doc_id, text_key, component_id): documents linked by the similarity of their shingle sets, by chains of links."""
+    rows = cut(wide_fingerprints(docs, shingle))
+    at = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text_key")).alias("at")
+    distinct = cut(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("n").alias("n"), at).withColumn("least", F.col("at.doc")))
+    radius = candidate_radius(similarity)
+    links = link(distinct.select(F.explode("keys").alias("key"), "node", "fp"), radius, WIDE, max_group)
+    sure = confirm(docs, distinct, links, shingle, similarity, radius, max_shingles=max_shingles)
+    return _named(rows.select("doc_id", "text_key", "node"), distinct, sure).select("doc_id", "text_key", "component_id")
+
+
 def drop_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_group: int = 16_384) -> DataFrame:
     """`docs` with one row, of the smallest doc_id, for each group of near-duplicates.
 
     A null doc_id is the smallest. Of repeated rows under that doc_id all stay, as no column tells them
     apart; different texts under one doc_id stay or go together."""
-    found = clusters(docs, shingle, wide_radius(similarity), WIDE, max_group=max_group)
+    found = near_clusters(docs, shingle, similarity, max_group)
     return without(docs, found.where("not (doc_id <=> component_id)"))

@@ -110,3 +110,41 @@ def test_repeats_do_not_part_equal_sets(spark):
         rows += [(1000 * k + i, " ".join([head, *[line] * n, tail]), "en", "a", 1) for k, n in enumerate((2, 12))]
     kept = {r.doc_id for r in simhash.drop_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
     assert kept == set(range(20))
+
+
+def jaccard(a, b):
+    own = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split())]
+    return len(own[0] & own[1]) / len(own[0] | own[1])
+
+
+def varied(rng, s, n=160):
+    """Texts whose shingle Jaccard is s at least, but hardly more, and just below s."""
+    words = prose(rng, n).split()
+    text, last = " ".join(words), None
+    for i in range(n - 1, 0, -1):  # other words from the end on
+        words[i] = f"other{i}"
+        if jaccard(text, " ".join(words)) < s:
+            return text, last, " ".join(words)
+        last = " ".join(words)
+
+
+def test_links_by_exact_similarity(spark):
+    rng = random.Random(13)
+    rows, want = [], set()
+    for i in range(60):
+        text, enough, less = varied(rng, 0.8, 30 + 5 * i)
+        other, _, far = varied(rng, 0.8, 30 + 5 * i)
+        rows += [(i, text), (1000 + i, enough), (2000 + i, other), (3000 + i, far)]
+        want |= {i, 2000 + i, 3000 + i}
+    docs = spark.createDataFrame([(d, t, "en", "a", 1) for d, t in rows], DOCS)
+    assert {r.doc_id for r in simhash.drop_duplicates(docs).collect()} == want
+    # every component split into tile pairs
+    kept = {r.doc_id for r in simhash.near_clusters(docs, max_shingles=100).where("doc_id <=> component_id").collect()}
+    assert kept == want
+
+
+def test_set_products():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 3000, rng.integers(0, 900), dtype=np.uint64)) for _ in range(60)]
+    want = [[len(np.intersect1d(x, y)) for y in sets[20:]] for x in sets[:20]]
+    assert (simhash.common(sets[:20], sets[20:]) == want).all()
