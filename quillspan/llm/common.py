@@ -65,11 +65,12 @@ def text_key():
     return F.xxhash64("text")
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """`docs` but for rows whose doc_id, null included, is in `ids` (doc_id)."""
-    own = fresh(docs, "_id")
-    ids = ids.select(F.col("doc_id").alias(own)).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col(own)), "left_anti")
+def without(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """`docs` but for rows whose doc_id, null included, and text are in `judged` (doc_id, text_key). Other texts
+    under the same doc_id stay."""
+    own, key = fresh(docs, "_id"), fresh(docs, "_text_key")
+    judged = judged.select(F.col("doc_id").alias(own), F.col("text_key").alias(key)).distinct()
+    return docs.join(judged, F.col("doc_id").eqNullSafe(F.col(own)) & (text_key() == F.col(key)), "left_anti")
 
 
 def texts(column: pa.Array) -> list[bytes]:

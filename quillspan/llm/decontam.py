@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import texts, without
+from quillspan.llm.common import text_key, texts, without
 
 BLOCK, SKETCH, MIN_HITS, MIN_KEPT = 32, 128, 3, 6
 MAX_FEATURES = 1 << 15
@@ -175,7 +175,13 @@ class Space:
 
 def leaks(docs: DataFrame, items: DataFrame, rank: int = 224, cosine: float = 0.5, sure: float = 0.75, close: float = 0.6, answered: float = 0.75) -> DataFrame:
     """(doc_id, item_id, cosine, common, answer): confirmed pairs."""
-    schema = "doc_id long, item_id long, cosine double, common double, answer double"
+    found = confirmed(docs, items, rank, cosine, sure, close, answered)
+    return found.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("cosine", "common", "answer")))
+
+
+def confirmed(docs: DataFrame, items: DataFrame, rank: int = 224, cosine: float = 0.5, sure: float = 0.75, close: float = 0.6, answered: float = 0.75) -> DataFrame:
+    """(doc_id, text_key, item_id, cosine, common, answer): confirmed pairs of each row."""
+    schema = "doc_id long, text_key long, item_id long, cosine double, common double, answer double"
     own_items = read_items(items)
     if not own_items:
         return docs.sparkSession.createDataFrame([], schema)
@@ -188,15 +194,14 @@ def leaks(docs: DataFrame, items: DataFrame, rank: int = 224, cosine: float = 0.
         get = feature.get
         for b in it:
             rows: list[tuple] = []
-            for doc, t in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
+            for doc, key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2)), strict=True):
                 own = words(t)
                 found = search(own, np.fromiter(map(get, own, repeat(-1)), np.int32, len(own)), own_items, space, cosine, sure, close, answered)
-                rows += [(doc, own_items[i].id, c, s, a) for i, (c, s, a) in found.items()]
+                rows += [(doc, key, own_items[i].id, c, s, a) for i, (c, s, a) in found.items()]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 2 + [pa.float64()] * 3, strict=True)], ["doc_id", "item_id", "cosine", "common", "answer"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 3 + [pa.float64()] * 3, strict=True)], ["doc_id", "text_key", "item_id", "cosine", "common", "answer"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
-    return found.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("cosine", "common", "answer")))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text").mapInArrow(run, schema)
 
 
 def search(own: list[bytes], f: np.ndarray, items: list[Item], space: Space, cosine: float, sure: float, close: float, answered: float) -> dict[int, tuple[float, float, float]]:
@@ -232,5 +237,5 @@ def search(own: list[bytes], f: np.ndarray, items: list[Item], space: Space, cos
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """`docs` without the documents that hold a benchmark item."""
-    return without(docs, leaks(docs.select("doc_id", "text"), items))
+    """`docs` without the rows whose text holds a benchmark item."""
+    return without(docs, confirmed(docs.select("doc_id", "text"), items))

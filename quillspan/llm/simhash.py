@@ -395,6 +395,7 @@ def drop_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     """`docs` with one row, of the smallest doc_id, for each group of near-duplicates.
 
     A null doc_id is the smallest. Of repeated rows under that doc_id all stay, as no column tells them
-    apart; different texts under one doc_id stay or go together."""
+    apart, and so do near-duplicates under that doc_id itself; of different texts under one doc_id, each stays or
+    goes by its own group."""
     found = near_clusters(docs, shingle, similarity, max_group)
     return without(docs, found.where("not (doc_id <=> component_id)"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspan.llm.common import cut, fresh, texts, without
+from quillspan.llm.common import cut, fresh, text_key, texts, without
 
 WINDOW, STEP, LEVEL = 64, 48, 12
 MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
@@ -184,5 +184,7 @@ def score(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> Dat
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> DataFrame:
-    """`docs` without the documents predicted to be toxic. A null doc_id is judged by its text as well."""
-    return without(docs, score(docs.select("doc_id", "text"), labels, max_labelled).where("predicted = 1"))
+    """`docs` without the rows predicted to be toxic. Each text is judged by itself, whatever else is under its
+    doc_id; a null doc_id as well."""
+    rows = docs.select("doc_id", "text", text_key().alias("text_key"))
+    return without(docs, score(rows, labels, max_labelled).where("predicted = 1"))

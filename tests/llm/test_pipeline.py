@@ -45,3 +45,21 @@ def test_empty_tables(spark, save):
     docs, labels, benchmark = corpus(spark)
     d = save(documents=docs.limit(0), labels=labels.limit(0), benchmark=benchmark.limit(0))
     assert corpus_pipeline.run(spark, d).collect() == []
+
+
+def test_clean_texts_stay_beside_bad_ones(spark, save):
+    docs, labels, benchmark = corpus(spark)
+    rng = random.Random(31)
+    item, copied = benchmark.collect()[0].text, docs.where("doc_id = 0").collect()[0].text
+    clean = {i: prose(rng, 120) for i in (None, 700, 701, 702)}
+    toxic = f"{prose(rng, 40)} vilescum hatefool gruntslur {prose(rng, 40)} vilescum gruntslur"
+    bad = {None: toxic, 700: toxic, 701: f"{prose(rng, 60)} {item} {prose(rng, 60)}", 702: copied}
+    leaking = f"{prose(rng, 50)} {item} {prose(rng, 50)}"
+    rows = [(i, t, "en", "a", 1) for texts in (clean, bad) for i, t in texts.items()] + [(None, leaking, "en", "a", 1)]
+    d = save(documents=docs.unionByName(spark.createDataFrame(rows, DOCS)), labels=labels, benchmark=benchmark)
+    own = spark.read.parquet(f"{d}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        own = corpus_pipeline.written(stage(spark, own, d))
+    kept = {(r.doc_id, r.text) for r in own.collect()}
+    assert clean.items() <= kept and kept.isdisjoint(bad.items()) and (None, leaking) not in kept
+    assert (0, copied) in kept
