@@ -1,24 +1,33 @@
 """Toxicity by compression distance (operator 5).
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text. Both end with the words that
-most labelled documents share (at equal offsets, so that these cost the same in both), and each begins with
-the words and word beginnings that are significantly more frequent in its own class, found by a distributed
-count. Every text is cut into overlapping windows; how many bytes fewer a window takes with the toxic
-dictionary than with the ordinary one is its distance. A logistic model over a document's distances (means of
-the largest, mean, deviation, windows over limits) calibrates them into a score.
-
-Training reads labelled rows only, at most `max_labelled` of each class, those with the smallest hash of their
-doc_id; scoring covers every window of every text. doc_id, lang and source are no inputs of a score.
-
-Defined results: null or empty text is one empty window and gets the model's score for that; a null doc_id
-is scored and counts as held out; repeated rows are scored each; of several labels of a doc_id the largest
-counts; without labels of both classes every score is 0; an empty table gives no rows. `score` carries the
-input's columns along except text, but replaces those it adds.
+Two zstandard dictionaries are trained, one on toxic and one on ordinary text, and used as raw content. Every
+text is cut into overlapping windows of bytes; how many bytes fewer a window takes with the toxic dictionary
+than with the ordinary one is its distance. A logistic model over a document's distances (means of the largest,
+mean, deviation, windows over limits) calibrates them into a score; its limit is 0.5.
+
+Training. Both dictionaries hold the same part, trained on ordinary text, at equal offsets, so that what all
+texts share costs the same in both. In front of it, zstandard's trainer fills each from its own class: from the
+words of the class's texts that hold an N-gram found in significantly more of its documents than of the
+other class's. Without that choice, a dictionary of toxic text is filled with what is frequent in any text. What
+is missing to equal lengths is ordinary text. A sentence that several documents share counts once, so that
+groups of copies don't decide. The dictionaries come from three of four documents of the sample, the model from
+the fourth.
+
+The sample has labelled rows only, at most `max_labelled` of each class and those of at most `max_chars`
+characters, by the smallest hash of doc_id. It is fitted on the driver. Scoring covers every window of every text.
+doc_id, lang and source are no inputs of a score.
+
+Defined results: null or empty text is one empty window and gets the model's score for that; a very long text
+is windowed as a whole; a null doc_id is scored and counts as held out; repeated rows are scored each; of
+several labels of a doc_id the largest counts; ties in the sample's order go by doc_id; without labels of both
+classes every score is 0; an empty table gives no rows. `score` carries the input's columns along except text,
+but replaces those it adds.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,20 +35,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspan.llm.common import cut, fresh, text_key, texts, without
+from quillspan.llm.common import fresh, text_key, texts, without
 
 WINDOW, STEP, LEVEL = 64, 48, 12
-MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
-BEGINNINGS = (4, 5, 6, 7, 8, 10)
-LIMITS = (2, 3, 4, 5, 6)
+LIMITS = (1, 2, 3, 4, 5, 6, 8)
 N_FEATURES = 7 + len(LIMITS)
+#: Bytes of an N-gram, and bits of its hash.
+GRAM, BITS = 6, 22
+#: Bytes of the part that both dictionaries share, and at most of each one's own part.
+SHARED, OWN = 30_000, 2_000
+MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
 
 
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def labelled(labels: DataFrame, max_labelled: int = 20_000) -> DataFrame:
+def labelled(labels: DataFrame, max_labelled: int) -> DataFrame:
     """(doc_id, toxic) to learn from: not held out, at most `max_labelled` of each class."""
     rows = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = rows.withColumn("_h", F.xxhash64("doc_id"))
@@ -47,69 +59,98 @@ def labelled(labels: DataFrame, max_labelled: int = 20_000) -> DataFrame:
     return one("toxic > 0").withColumn("toxic", F.lit(1)).unionByName(one("toxic <= 0").withColumn("toxic", F.lit(0)))
 
 
-def segments(t: bytes) -> set[bytes]:
-    """The words of a lower-cased text, between spaces, and their beginnings, behind a space."""
-    out = set()
-    for w in {x.strip(MARKS) for x in t.split()}:
-        if 3 <= len(w) <= 32:
-            out.add(b" %s " % w)
-            out |= {b" " + w[:k] for k in BEGINNINGS if k < len(w)}
+def sample(docs: DataFrame, labels: DataFrame, max_labelled: int, max_chars: int) -> tuple[list[bytes], list[bytes]]:
+    """(ordinary, toxic) lower-cased texts to learn from, in an order by hash."""
+    known = F.broadcast(labelled(labels, max_labelled))  # 2 * max_labelled rows at most
+    rows = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(known, "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "toxic").toArrow()
+    own: tuple[list, list] = [], []
+    for h, i, t, y in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+        own[y].append((h, i, t.lower().encode()))
+    return tuple([t for _, _, t in sorted(x)[:max_labelled]] for x in own)
+
+
+def sentences(own: list[bytes]) -> list[list[bytes]]:
+    """The sentences of each text that no earlier one has."""
+    seen: set[bytes] = set()
+    out = []
+    for t in own:
+        new = [x for x in dict.fromkeys(t.replace(b"\n", b". ").split(b". ")) if x not in seen]
+        seen.update(new)
+        out.append(new)
+    return out
+
+
+def gram_hashes(t: bytes) -> np.ndarray:
+    raw = np.frombuffer(t, np.uint8).astype(np.uint64)
+    n = max(0, len(raw) - GRAM + 1)
+    h = np.zeros(n, np.uint64)
+    for i in range(GRAM):
+        h = h * np.uint64(0x100000001B3) ^ (raw[i : n + i] + np.uint64(1))
+    return (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def gram_counts(own: list[bytes]) -> np.ndarray:
+    """By hash of an N-gram: texts that have it."""
+    out = np.zeros(1 << BITS, np.int64)
+    for t in own:
+        out[np.unique(gram_hashes(t))] += 1
     return out
 
 
-def segment_counts(rows: DataFrame) -> DataFrame:
-    """(segment, n1, n0): toxic and ordinary documents of `rows` (text, toxic) with it; b'' counts them all."""
-
-    def run(it):
-        count: dict[bytes, list[int]] = {}
-
-        def out() -> pa.RecordBatch:
-            n = np.array(list(count.values()), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(n[:, 1]), pa.array(n[:, 0])], ["segment", "n1", "n0"])
-
-        for b in it:
-            for t, y in zip(texts(b.column(0)), b.column(1).to_pylist(), strict=True):
-                for w in segments(t.lower()) | {b""}:
-                    count.setdefault(w, [0, 0])[y] += 1
-                if len(count) > 200_000:
-                    yield out()
-                    count.clear()
-        if count:
-            yield out()
-
-    return rows.select("text", "toxic").mapInArrow(run, "segment binary, n1 long, n0 long").groupBy("segment").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-
-
-def distinct_segments(ranked: list[tuple[bytes, int]], share: float = 0.7) -> list[bytes]:
-    """Of (segment, documents) in order of significance: each grown to the longest with at least `share` of its
-    documents, without those that begin like an earlier one."""
-    n, keep = dict(ranked), []
-    for s, _ in ranked:
-        while grown := [x for x in n if len(x) > len(s) and x.startswith(s.rstrip()) and n[x] >= share * n[s]]:
-            s = max(grown, key=lambda x: (n[x], x))
-        if not any(s.startswith(k.rstrip()) for k in keep):
-            keep.append(s)
-    return keep
-
-
-def dictionaries(counts: DataFrame, least_z: float = 8.0, least_docs: int = 6, own: int = 1500, common: int = 2400) -> tuple[bytes, bytes] | None:
-    """Contents (ordinary, toxic); None unless there are documents of both classes. Reads `own` segments of
-    each class and `common` words from the counts."""
-    counts = cut(counts)
-    top = counts.where(F.col("segment") == F.lit(b"")).collect()
-    if not top or not top[0].n1 or not top[0].n0:
-        return None
-    n1, n0 = top[0].n1, top[0].n0
-    p = (F.col("n1") + F.col("n0")) / (n1 + n0)
-    z = (F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1 / n1 + 1 / n0))
-    rows = counts.where("length(segment) > 0").withColumn("z", z)
-    first = lambda df, n, count, *by: [(bytes(r.segment), r.n) for r in df.orderBy(*by, "segment").limit(n).select("segment", F.col(count).alias("n")).collect()]
-    toxic = first(rows.where((F.col("z") >= least_z) & (F.col("n1") >= least_docs)), own, "n1", F.desc("z"))
-    plain = first(rows.where((F.col("z") <= -least_z) & (F.col("n0") >= least_docs)), own, "n0", F.col("z"))
-    is_word = F.substring("segment", -1, 1) == F.lit(b" ")
-    both = first(rows.where((F.abs("z") < 5) & is_word), common, "n0", F.desc(F.col("n1") + F.col("n0")))
-    shared = b" " + b" ".join(w.strip() for w, _ in reversed(both)) + b" "
-    return b"".join(distinct_segments(plain)) + shared, b"".join(distinct_segments(toxic)) + shared
+def telling(own: np.ndarray, other: np.ndarray, share: float, least_z: float, least_docs: int = 4) -> np.ndarray:
+    """Which N-grams are in significantly more texts of a class than its `share` of all text lets expect."""
+    expected = (own + other) * share
+    z = (own - expected) / np.sqrt(expected * (1 - share) + 0.5)
+    return (z >= least_z) & (own >= least_docs) & (own > 2 * expected * (1 - share))
+
+
+def telling_words(own: list[bytes], which: np.ndarray) -> Iterator[bytes]:
+    """Of each text the words that hold a telling N-gram, as a training sample."""
+    for t in own:
+        at = np.flatnonzero(which[gram_hashes(t)])
+        gaps = np.flatnonzero(np.frombuffer(t, np.uint8) == 0x20)
+        k = np.unique(np.searchsorted(gaps, at + GRAM // 2, "right"))
+        k = k[(k > 0) & (k < len(gaps))]
+        words = (t[gaps[i - 1] + 1 : gaps[i]].strip(MARKS) for i in k.tolist())
+        if found := b" ".join(w for w in words if w):
+            yield b" " + found + b" "
+
+
+def trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """What zstandard's trainer makes of the samples; all of them if they are too few for it."""
+    import zstandard as z
+
+    if sum(map(len, samples)) > 2 * size and size >= 256:
+        try:
+            return z.train_dictionary(size, samples, k=segment, d=6).as_bytes()
+        except z.ZstdError:
+            pass
+    return b"".join(samples)[-size:]
+
+
+class Texts:
+    """Texts of one class to train from, each without the sentences that an earlier one has."""
+
+    def __init__(self, own: list[list[bytes]]):
+        self.sentences, self.texts = own, [b" " + b" ".join(x) + b" " for x in own]
+        self.size, self.counts = sum(map(len, self.texts)), gram_counts(self.texts)
+
+
+def dictionaries(ordinary: Texts, toxic: Texts) -> tuple[bytes, bytes]:
+    """Contents (ordinary, toxic), of equal length."""
+    own: list[bytes] = []
+    for this, other in ((ordinary, toxic), (toxic, ordinary)):
+        words: list[bytes] = []
+        for least_z in (5.0, 3.0, 1.5):  # small samples have to do with less
+            share = this.size / max(1, this.size + other.size)
+            words = list(telling_words(this.texts, telling(this.counts, other.counts, share, least_z)))
+            if sum(map(len, words)) >= 256:
+                break
+        own.append(trained(words, OWN, 16))
+    plain = [s for x in ordinary.sentences for s in x if len(s) >= 8]
+    shared, n = trained(plain, SHARED, 40), max(map(len, own))
+    filler = b" ".join(plain[-2000:])[:n].ljust(n)
+    return tuple((filler + x)[-n:] + shared for x in own)
 
 
 class Distance:
@@ -138,53 +179,59 @@ class Distance:
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mean, scale, weights with the intercept last) by Newton's method."""
+    """(mean, scale, weights with the intercept last) by Newton's method. A row of the rarer class weighs as much more as
+    the square root of the classes' ratio, so that the limit stands between their shares and equal ones."""
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
     a = np.column_stack([(x - mean) / scale, np.ones(len(x))])
+    c = np.where(y > 0, np.sqrt(max(1, (y == 0).sum()) / max(1, (y > 0).sum())), 1.0)
     w = np.zeros(a.shape[1])
     keep = ridge * np.eye(len(w))
     keep[-1, -1] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + keep, a.T @ (y - p) - keep @ w)
+        step = np.linalg.solve(a.T @ (a * (c * p * (1 - p))[:, None]) + keep, a.T @ (c * (y - p)) - keep @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
     return mean, scale, w
 
 
-def score(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> DataFrame:
+def fit(ordinary: list[bytes], toxic: list[bytes]) -> tuple[bytes, bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """Dictionaries from three of four texts of each class, and the model from the distances of the fourth."""
+    rest = lambda own: [x for i, x in enumerate(own) if i % 4 or len(own) < 4]
+    content = dictionaries(Texts(sentences(rest(ordinary))), Texts(sentences(rest(toxic))))
+    by = Distance(*content)
+    own = ordinary[::4] + toxic[::4]
+    y = np.array([0.0] * len(ordinary[::4]) + [1.0] * len(toxic[::4]))
+    return *content, *fit_logistic(np.array([by.features(t) for t in own]), y)
+
+
+def score(docs: DataFrame, labels: DataFrame, max_labelled: int = 4_000, max_chars: int = 1 << 16) -> DataFrame:
     """`docs` without text, with held_out, score and predicted."""
     docs = docs.drop("held_out", "score", "predicted")
     own = fresh(docs, "_x")
-    known = F.broadcast(cut(labelled(labels, max_labelled)))  # 2 * max_labelled rows at most
-    content = dictionaries(segment_counts(docs.select("doc_id", "text").join(known, "doc_id")))
+    ordinary, toxic = sample(docs, labels, max_labelled, max_chars)
     fields = [f for f in docs.schema.fields if f.name != "text"]
     rest = docs.select(*[f.name for f in fields], "text")
-    if content is None:
-        return rest.drop("text").withColumns({"held_out": held_out(), "score": F.lit(0.0), "predicted": F.lit(0)})
-    held = docs.sparkSession.sparkContext.broadcast(content)
-
-    def run(it):
-        by = Distance(*held.value)
-        for b in it:
-            x = pa.array([by.features(t) for t in texts(b.column(b.num_columns - 1))], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], x], [*b.schema.names[:-1], own])
-
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields] + [T.StructField(own, T.ArrayType(T.DoubleType()))])
-    rows = cut(rest.mapInArrow(run, schema))
-    known_rows = rows.select("doc_id", own).join(known, "doc_id").select(own, "toxic").toArrow()
-    x, y = np.array(known_rows.column(own).to_pylist(), float).reshape(-1, N_FEATURES), known_rows.column("toxic").to_numpy().astype(float)
-    mean, scale, w = fit_logistic(x, y) if len(x) else (np.zeros(N_FEATURES), np.ones(N_FEATURES), np.array([0.0] * N_FEATURES + [-30.0]))
-    z = F.lit(float(w[-1]))
-    for i in range(N_FEATURES):
-        z = z + (F.col(own)[i] - float(mean[i])) / float(scale[i]) * float(w[i])
-    out = rows.withColumn("held_out", held_out()).withColumn("score", 1 / (1 + F.exp(-z)))
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop(own)
-
-
-def drop_toxic(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> DataFrame:
+    if not ordinary or not toxic:
+        out = rest.withColumn(own, F.lit(0.0)).drop("text")
+    else:
+        held = docs.sparkSession.sparkContext.broadcast(fit(ordinary, toxic))  # of constant size
+
+        def run(it):
+            plain, offending, mean, scale, w = held.value
+            by = Distance(plain, offending)
+            for b in it:
+                x = np.array([by.features(t) for t in texts(b.column(b.num_columns - 1))]).reshape(-1, N_FEATURES)
+                p = 1 / (1 + np.exp(-np.clip(((x - mean) / scale) @ w[:-1] + w[-1], -700, 700)))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p)], [*b.schema.names[:-1], own])
+
+        out = rest.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in fields] + [T.StructField(own, T.DoubleType())]))
+    return out.withColumns({"held_out": held_out(), "score": F.col(own), "predicted": (F.col(own) >= 0.5).cast("int")}).drop(own)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`docs` without the rows predicted to be toxic. Each text is judged by itself, whatever else is under its
     doc_id; a null doc_id as well."""
     rows = docs.select("doc_id", "text", text_key().alias("text_key"))
-    return without(docs, score(rows, labels, max_labelled).where("predicted = 1"))
+    return without(docs, score(rows, labels).where("predicted = 1"))
