@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -81,6 +82,28 @@ def texts(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in out] if column.null_count else out
 
 
+#: Bytes of a batch that a worker takes up at once; it may be one row more.
+SLICE = 4 << 20
+
+
+def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """`df.mapInArrow`, with batches of bounded size, and memory that a task has freed given back at its end: a
+    worker lives on for other tasks, beside those of other stages."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def small() -> Iterator[pa.RecordBatch]:
+            for b in it:
+                n = max(1, b.num_rows * SLICE // max(b.nbytes, 1))
+                yield from (b.slice(k, n) for k in range(0, b.num_rows, n))
+
+        yield from fn(small())
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return df.mapInArrow(run, schema)
+
+
 def batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
     """`fn` over each Arrow batch of `df`; it returns the columns of `schema` by name."""
     names = _names(schema)
@@ -90,7 +113,7 @@ def batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema:
             if b.num_rows and (out := fn(b)) is not None:
                 yield pa.RecordBatch.from_arrays([x if isinstance(x := out[n], pa.Array) else pa.array(x) for n in names], names)
 
-    return df.mapInArrow(run, schema)
+    return df.transform(mapped, run, schema)
 
 
 def _names(schema: str) -> list[str]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspan.llm.common import SPACE, cut, fresh, texts
+from quillspan.llm.common import SPACE, cut, fresh, mapped, texts
 
 BLOCK_BITS = 1 << 17
 NO_ID = -(1 << 63)
@@ -77,7 +77,7 @@ def _sets(docs: DataFrame, bits: int, least: int, flush: int = 1 << 20) -> DataF
         if n:
             yield out()
 
-    return docs.select("text").mapInArrow(run, "block int, once binary, twice binary")
+    return docs.select("text").transform(mapped, run, "block int, once binary, twice binary")
 
 
 def twice_seen(docs: DataFrame, bits: int = 1 << 27, least: int = 40) -> bytes:
@@ -100,7 +100,7 @@ def twice_seen(docs: DataFrame, bits: int = 1 << 27, least: int = 40) -> bytes:
 
     n = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), bits // BLOCK_BITS)
     out = bytearray(bits // 8)
-    for r in _sets(docs, bits, least).repartition(n, "block").mapInArrow(merge, "block int, bits binary").toLocalIterator():
+    for r in _sets(docs, bits, least).repartition(n, "block").transform(mapped, merge, "block int, bits binary").toLocalIterator():
         out[r.block * BLOCK_BITS // 8 : (r.block + 1) * BLOCK_BITS // 8] = r.bits
     return bytes(out)
 
@@ -134,7 +134,7 @@ def suspects(docs: DataFrame, bits: int = 1 << 27, least: int = 40) -> DataFrame
                 rows = np.unique(np.column_stack([at[hit, 0], h[hit]]), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[rows[:, 0]]), pa.array(rows[:, 1]), pa.array(rows[:, 2])], ["doc_id", "k1", "k2"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, k1 long, k2 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(mapped, run, "doc_id long, k1 long, k2 long")
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 5, least: int = 40, bits: int = 1 << 27, max_broadcast: int = 1_000_000) -> DataFrame:
@@ -198,4 +198,4 @@ def _apply(docs: DataFrame, drops, column: str, least: int) -> DataFrame:
             out |= {"text": pa.array(kept, pa.binary()).cast(pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}
             yield pa.RecordBatch.from_arrays([out[n] for n in names], names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(mapped, run, schema)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspan.llm.common import cut, texts
+from quillspan.llm.common import cut, mapped, texts
 
 SYMBOLS = b"#*$%&|<>"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -76,7 +76,7 @@ def statistics(docs: DataFrame) -> DataFrame:
             cols |= {"n_words": rows[:, 0], "word_chars": points - space, "n_symbols": rows[:, 1], "n_dup_lines": rows[:, 2], "n_repeat_words": rows[:, 3]}
             yield pa.RecordBatch.from_arrays([x if isinstance(x := cols[n], pa.Array) else pa.array(x, pa.int64()) for n in names], names)
 
-    return docs.select(*[f.name for f in keep], "text").mapInArrow(run, schema)
+    return docs.select(*[f.name for f in keep], "text").transform(mapped, run, schema)
 
 
 def features(stats: np.ndarray) -> np.ndarray:
@@ -158,7 +158,7 @@ def scored(stats: DataFrame, forest: IsolationForest) -> DataFrame:
             a = np.round(held.value.score(features(rows)) * BINS) / BINS
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(a)], [*b.schema.names, "anomaly"])
 
-    return stats.mapInArrow(run, schema)
+    return stats.transform(mapped, run, schema)
 
 
 def threshold(rows: DataFrame, labels: DataFrame, keep_good: float = 0.99) -> float:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import cut, texts, vocabulary, word_ids
+from quillspan.llm.common import cut, mapped, texts, vocabulary, word_ids
 
 BLOCK = 128
 
@@ -39,7 +39,7 @@ def lengths(docs: DataFrame, path: str | None = None, extra: int = 1) -> DataFra
             k = np.fromiter(count.keys(), np.int64, len(count))
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.fromiter(count.values(), np.int64, len(count)))], ["length", "docs"])
 
-    return docs.select("text").mapInArrow(run, "length long, docs long")
+    return docs.select("text").transform(mapped, run, "length long, docs long")
 
 
 def histogram(docs: DataFrame, path: str | None = None, extra: int = 1) -> DataFrame:

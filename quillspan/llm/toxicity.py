@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspan.llm.common import fresh, text_key, texts, without
+from quillspan.llm.common import fresh, mapped, text_key, texts, without
 
 WINDOW, STEP, LEVEL = 64, 48, 12
 LIMITS = (1, 2, 3, 4, 5, 6, 8)
@@ -226,7 +226,7 @@ def score(docs: DataFrame, labels: DataFrame, max_labelled: int = 4_000, max_cha
                 p = 1 / (1 + np.exp(-np.clip(((x - mean) / scale) @ w[:-1] + w[-1], -700, 700)))
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p)], [*b.schema.names[:-1], own])
 
-        out = rest.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in fields] + [T.StructField(own, T.DoubleType())]))
+        out = rest.transform(mapped, run, T.StructType([T.StructField(f.name, f.dataType) for f in fields] + [T.StructField(own, T.DoubleType())]))
     return out.withColumns({"held_out": held_out(), "score": F.col(own), "predicted": (F.col(own) >= 0.5).cast("int")}).drop(own)
 
 
