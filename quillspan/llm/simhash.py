@@ -30,10 +30,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import batches, cut, text_key, texts, without
+from quillspan.llm.common import batches, cut, mapped, text_key, texts, without
 from quillspan.llm.graph import components
 
-TILE = 1024
+TILE = 512
 NO_ID = -(1 << 63)
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 _PERM = (np.random.default_rng(11).integers(1 << 62, size=64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -175,8 +175,8 @@ def connect(fps: np.ndarray, radius: int, sets: list[np.ndarray] | None = None,
                 r, c = r[own], c[own]
             if not len(r):
                 continue
-            for x, y in np.unique(np.column_stack([li[r], lj[c]]), axis=0):
-                x, y = find(x), find(y)
+            for code in np.unique(li[r] * n + lj[c]).tolist():
+                x, y = find(code // n), find(code % n)
                 if x != y:
                     parent[max(x, y)] = min(x, y)
             label = _flatten(parent)[label]
@@ -249,7 +249,7 @@ def _links(it: Iterator[pa.RecordBatch], radius: int, max_group: int, width: int
 def link(groups: DataFrame, radius: int, width: int = 1, max_group: int = 16_384) -> DataFrame:
     """Spanning links (a, b) between nodes of `groups` (key, node, fp) that are within the radius."""
     schema = "a long, b long, key long, n long"
-    step = lambda df, most: df.repartition("key").sortWithinPartitions("key").select("key", "node", "fp").mapInArrow(lambda it: _links(it, radius, most, width), schema)
+    step = lambda df, most: df.repartition("key").sortWithinPartitions("key").select("key", "node", "fp").transform(mapped, lambda it: _links(it, radius, most, width), schema)
     first = cut(step(groups, max_group))
     links, large = first.where("a is not null").select("a", "b"), first.where("key is not null").select("key", "n")
     if not large.limit(1).count():
@@ -377,7 +377,7 @@ def confirm(docs: DataFrame, distinct: DataFrame, links: DataFrame, shingle: int
     dealt = sets.withColumn("t", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("u", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     dealt = dealt.select(F.xxhash64("root", F.least("t", "u"), F.greatest("t", "u")).alias("key"), "node", "fp", "hashes")
     dealt = dealt.repartition("key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(lambda it: _confirmed(it, radius, similarity), "a long, b long")
+    return dealt.transform(mapped, lambda it: _confirmed(it, radius, similarity), "a long, b long")
 
 
 def near_clusters(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_group: int = 16_384, max_shingles: int = MAX_SHINGLES) -> DataFrame:
