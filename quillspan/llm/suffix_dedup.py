@@ -37,15 +37,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import texts, written
+from quillspan.llm.common import mapped, texts, written
 
 SPAN = 100  # bytes of a repeat
 GRAM = 32  # bytes of an anchor
-CHUNK = 1 << 20  # bytes that are hashed at once
+CHUNK = 1 << 18  # bytes that are hashed at once
 BLOCK = 1 << 16  # bytes of contexts, of several anchors, that are merged together
 MAX_BLOCK = 1 << 19  # bytes of one anchor's contexts
 SHARDS = 4
-HELD = 1 << 20  # anchors that a task holds before it sends them
+HELD = 1 << 18  # anchors that a task holds before it sends them
 CROWD = (8, 0.002, 64)  # an anchor is crowded with a share of the held contexts, within these bounds
 HOT = 1 << 62  # set in `at` for contexts of crowded anchors
 NO_ID = -(1 << 63)
@@ -419,14 +419,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, kept, n_bytes, n_removed, n_spans); kept: the bytes left, which may break a character."""
     docs = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("th", F.xxhash64("text").bitwiseAND(0x7FFFFFFF).cast("int"))
-    local = docs.select("doc", "th", "text").mapInArrow(_local, ANCHORS)
+    local = docs.select("doc", "th", "text").transform(mapped, _local, ANCHORS)
     target = F.when((F.col("h") == 0) & (F.col("c") == 0), F.xxhash64("doc", "at")).when(F.col("at") >= HOT, F.xxhash64("h", "c")).otherwise(F.col("h"))
-    places = written(local.repartition(target).sortWithinPartitions(*COLUMNS).mapInArrow(_across, ANCHORS))
+    places = written(local.repartition(target).sortWithinPartitions(*COLUMNS).transform(mapped, _across, ANCHORS))
     known = "h = 0 and c = 0"
     wanted = places.where(f"not ({known})").groupBy("doc", "th").agg(F.collect_list(F.struct("h", "at")).alias("wanted"))
-    contexts = docs.select("doc", "th", "text").join(wanted.hint("shuffle_hash"), ["doc", "th"]).select("doc", "th", "text", "wanted").mapInArrow(_contexts, "h long, doc long, th int, at long, context binary")
+    contexts = docs.select("doc", "th", "text").join(wanted.hint("shuffle_hash"), ["doc", "th"]).select("doc", "th", "text", "wanted").transform(mapped, _contexts, "h long, doc long, th int, at long, context binary")
     dealt = F.when(F.col("at") >= HOT, F.xxhash64("h", "doc", "at")).otherwise(F.col("h"))
-    merged = written(contexts.repartition(dealt).sortWithinPartitions("h").mapInArrow(_merge, ANCHORS))
+    merged = written(contexts.repartition(dealt).sortWithinPartitions("h").transform(mapped, _merge, ANCHORS))
     windows = merged.where(f"not ({known})")
     gone = places.where(known).unionByName(merged.where(known)).select("doc", "th", "at")
     if windows.limit(1).count():
@@ -434,4 +434,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         firsts = windows.groupBy("h", "c").agg(F.min(place).alias("place"))
         gone = gone.unionByName(windows.join(firsts, ["h", "c"]).where(place > F.col("place")).select("doc", "th", "at"))
     gone = gone.groupBy("doc", "th").agg(F.collect_list("at").alias("ats"))
-    return docs.join(gone.hint("shuffle_hash"), ["doc", "th"], "left").select("doc_id", "text", "ats").mapInArrow(_apply, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return docs.join(gone.hint("shuffle_hash"), ["doc", "th"], "left").select("doc_id", "text", "ats").transform(mapped, _apply, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
