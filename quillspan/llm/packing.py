@@ -4,15 +4,16 @@ Each document's ids (its own end id included) are cut at multiples of the window
 emitted at once. The rest, an item of 1..size-1 ids, goes to the fill level h whose choice minimises
 sum(N(l)^2) over the counts N(l) of windows that stand at level l (Csirik, Johnson and Kenyon's online
 rule); h = 0 opens a new window. N is one array of `size` entries, so a placement costs O(size) whatever
-the number of open windows. At a partition's end, or when more than `max_open` windows are open, what the
-open windows hold is cut anew: into full windows, and at the very end into windows of power-of-two length,
-which need no padding.
+the number of open windows. Windows stay as the rule has filled them: when more than `max_open` are open, the
+fullest ones, which few items still fit, are closed, and at a partition's end all are. A closed window of n ids
+becomes sequences of power-of-two lengths that sum up to n, which need no padding. `max_open` bounds memory.
 
 Packing is local to a partition: no row is shuffled, a re-run task gives the same sequences (ids are made
 of the partition number and a counter), and memory is `max_open` windows plus one document.
 
 Defined results: null or empty text holds the end id only; a row with a null doc_id is packed like any
-other; repeated rows are packed once each; an empty table gives no rows; extra columns are ignored.
+other; repeated rows are packed once each; of levels of equal cost a new window comes first, then the one that is
+filled up, then the lowest; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from quillspan.llm.common import texts, vocabulary, word_ids
+from quillspan.llm.common import mapped, texts, vocabulary, word_ids
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
@@ -66,11 +67,13 @@ class SumOfSquares:
         self.at[best + s].append(window)
         return None
 
-    def drain(self) -> list:
-        """Items of all open windows, by level and age."""
-        out = [x for level in self.at for window in level for x in window]
-        self.__init__(self.size)
-        return out
+    def fullest(self, most: int) -> Iterator[list]:
+        """Closes windows, the fullest first and of equals the youngest, until `most` are open."""
+        for level in range(self.size - 1, 0, -1):
+            while self.at[level] and self.open > most:
+                self.n[level] -= 1
+                self.open -= 1
+                yield self.at[level].pop()
 
 
 def powers(n: int) -> list[int]:
@@ -78,7 +81,7 @@ def powers(n: int) -> list[int]:
     return [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
 
 
-def pack_partition(rows: Iterator[tuple[int | None, bytes]], first_id: int, size: int, max_open: int = 2048) -> Iterator[tuple]:
+def pack_partition(rows: Iterator[tuple[int | None, bytes]], first_id: int, size: int, max_open: int = 4096) -> Iterator[tuple]:
     """Pieces of (doc_id, ids as bytes) rows. `first_id`: the partition's first sequence id."""
     bins, seq = SumOfSquares(size), first_id
 
@@ -91,24 +94,21 @@ def pack_partition(rows: Iterator[tuple[int | None, bytes]], first_id: int, size
             offset += k
         seq += 1
 
-    def recut(items: list, last: bool) -> Iterator[tuple]:
-        total = sum(len(x[2]) // 4 for x in items)
-        lengths = [size] * (total // size) + (powers(total % size) if last else [])
+    def split(items: list) -> Iterator[tuple]:
+        """A window that isn't full, as sequences of power-of-two lengths."""
         k = 0
-        for want in lengths:
-            window, left = [], want
+        for want in powers(sum(len(x[2]) // 4 for x in items)):
+            own, left = [], want
             while left:
                 doc, start, ids, n = items[k]
                 take = min(left, len(ids) // 4)
-                window.append((doc, start, ids[: 4 * take], n))
+                own.append((doc, start, ids[: 4 * take], n))
                 left -= take
                 if 4 * take == len(ids):
                     k += 1
                 else:
                     items[k] = (doc, start + take, ids[4 * take :], n)
-            yield from emit(window, want)
-        for x in items[k:]:
-            bins.place(x, len(x[2]) // 4)
+            yield from emit(own, want)
 
     for doc, ids in rows:
         total, start = len(ids) // 4, 0
@@ -118,12 +118,13 @@ def pack_partition(rows: Iterator[tuple[int | None, bytes]], first_id: int, size
         if start < total:
             if window := bins.place((doc, start, ids[4 * start :], total), total - start):
                 yield from emit(window, size)
-            if bins.open > max_open:
-                yield from recut(bins.drain(), last=False)
-    yield from recut(bins.drain(), last=True)
+            for items in bins.fullest(max_open):
+                yield from split(items)
+    for items in bins.fullest(0):
+        yield from split(items)
 
 
-def pack(docs: DataFrame, size: int = 2048, end_id: int = 1, path: str | None = None, max_open: int = 2048) -> DataFrame:
+def pack(docs: DataFrame, size: int = 2048, end_id: int = 1, path: str | None = None, max_open: int = 4096) -> DataFrame:
     """Pieces of `docs` (doc_id, text) packed into sequences of at most `size` ids."""
     path, end = path or vocabulary(), np.asarray([end_id], "<u4").tobytes()
 
@@ -144,7 +145,7 @@ def pack(docs: DataFrame, size: int = 2048, end_id: int = 1, path: str | None =
         if out:
             yield _batch(out)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").transform(mapped, run, SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
