@@ -6,9 +6,8 @@ place of a turn's own text in its span comes from rendering the same prefix with
 output does not begin with its predecessor (up to a generation suffix), the template rewrites history; the
 conversation is flagged (`rewrites_history`) and gets no spans.
 
-Rendering all prefixes costs the square of a conversation's length, so from `VERIFY` turns on a turn is
-rendered behind its predecessor alone and the sum of the spans is compared with one rendering of the whole;
-if they differ, all prefixes are rendered after all. Results are the same either way.
+Every prefix is rendered, as nothing less tells whether a template rewrites history, so a conversation costs the
+square of its length in time, not in memory.
 
 Turns are dealt out by conversation and sorted inside partitions; a task holds one conversation at a time.
 
@@ -27,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.llm.common import mapped
+
 Turn = tuple[str, str]
-VERIFY = 32
 SCHEMA = "conv_id long, formatted string, rewrites_history boolean, loss_spans array<struct<start: long, end: long>>"
 
 
@@ -91,21 +91,6 @@ def text_span(full: str, history: list[Turn], role: str, template: Callable[[lis
 def render(turns: list[Turn], template: Callable[[list[Turn]], str]) -> tuple[str, list[tuple[int, int]] | None]:
     """(whole rendering, span of each turn's text in it); no spans if the template rewrites history."""
     full = template(turns)
-    if len(turns) > VERIFY:
-        at, ends, spans = 0, "", []
-        for i, (role, _) in enumerate(turns):
-            before = turns[max(0, i - 1) : i]
-            had, got = template(before) if before else "", template([*before, turns[i]])
-            if not got.startswith(had):
-                break
-            a, b = text_span(got, before, role, template)
-            spans.append((at + a - len(had), at + b - len(had)))
-            at += len(got) - len(had)
-            if full[at - (len(got) - len(had)) : at] != got[len(had) :]:
-                break
-        else:
-            if at == len(full):
-                return full, spans
     spans, last = [], ""
     for i, (role, _) in enumerate(turns):
         now = template(turns[: i + 1])
@@ -170,7 +155,7 @@ def _grouped(conversations: DataFrame, fn: Callable[[list[Turn]], tuple], schema
             yield flush()
 
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(run, schema)
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").transform(mapped, run, schema)
 
 
 def digests(conversations: DataFrame, template: Callable[[list[Turn]], str] = chatml) -> DataFrame:
