@@ -7,7 +7,8 @@ chain covers, as a share of the template, make its coverage. A template's label
 coverage on. Base phrases are found beside that and keep their labels.
 
 Words outside the templates' vocabulary end every match, so the automaton walks runs of known words only.
-Memory per file is its words; the automaton is of the templates' size.
+Memory per file, a very long one too, is its words and matches; the automaton is of the templates' size. Of chains of
+equal coverage the first in the file counts.
 
 Defined results: null or empty text has no words, no labels and score 0; a null doc_id is a row like any
 other; repeated rows are scanned each; an empty table gives no rows; extra columns are ignored.
@@ -28,7 +29,7 @@ PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general publi
 MIN_MATCH = 4
 MAX_GAP = 40
 
-#: label: (least coverage, text). Public licence wordings; short notices have to be there nearly whole.
+#: Label: (least coverage, text). Public licence wordings; short notices have to be there nearly whole.
 TEMPLATES: dict[str, tuple[float, str]] = {
     "mit": (0.4, """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""),
     "apache": (0.4, """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
@@ -143,11 +144,8 @@ class Scanner:
         long = ends - starts >= MIN_MATCH
         for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
             for end, n, state in self.automaton.matches(ids[a:b].tolist(), MIN_MATCH):
-                seen = set()
                 for s, e in self.automaton.ends[state]:
-                    if s not in seen or self.sizes[s] < 4 * n:  # all places in short templates, the first in long ones
-                        seen.add(s)
-                        found[s].append((a + end, n, e))
+                    found[s].append((a + end, n, e))
         return [(self.labels[s], *self._chain(own, self.sizes[s])) for s, own in sorted(found.items())]
 
     @staticmethod
@@ -157,7 +155,7 @@ class Scanner:
         best: list[tuple[int, int]] = []  # covered words, first word
         for k, (end, n, e) in enumerate(own):
             top = (n, end - n)
-            for j in range(k - 1, max(-1, k - 65), -1):
+            for j in range(k - 1, -1, -1):
                 pe, _, pt = own[j]
                 if end - n - pe > MAX_GAP:
                     break
