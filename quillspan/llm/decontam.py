@@ -3,11 +3,12 @@
 1. Passages are pairs of neighbouring blocks of `BLOCK` words, over whole texts. One pass over the corpus
    gives, for each word of the benchmark, its document frequency over blocks and its row of the sketch
    A'S, where A is the passage-term matrix and S a sparse random sign matrix (each block goes to one of
-   `SKETCH` columns): the range finder of a randomised SVD. Other words can't add to a product with an item
+   `SKETCH` columns, by a hash of the text and its number): the range finder of a randomised SVD. Other words can't add to a product with an item
    and are left out. Tasks send their non-zero sums; what is merged and read has the benchmark's size.
 2. The sketch, weighted by inverse document frequency, and the items' own TF-IDF rows are stacked and
    orthogonalised; the leading `rank` directions are the latent space.
-3. The second pass projects every passage that holds at least `MIN_HITS` weighted words and takes each item
+3. The second pass projects every passage that holds at least `MIN_HITS` weighted words, or as many as the item with the
+   fewest has, and takes each item
    whose cosine is at least `cosine` as a candidate; there is no limit on their number.
 4. A candidate is confirmed by the longest common subsequence of words between the item and any stretch of
    1.3 item lengths: at least `sure` of the item, or at least `close` if the item's answer (its own column, or
@@ -17,7 +18,8 @@
 Very frequent words weigh nothing, unless an item would be left with fewer than MIN_KEPT weighted words: then
 its rarest words keep their weight.
 
-Defined results: null or empty texts and items match nothing; a null doc_id is reported as null; repeated
+Defined results: null or empty texts and items match nothing; a null doc_id is reported as null; a very long
+text is searched as a whole, in portions of passages; of equally good stretches the first counts; repeated
 rows are reported once per (doc_id, item_id) with their best values; items without words are ignored; an
 empty corpus or benchmark gives no rows. `decontaminate` carries all columns along.
 """
@@ -32,10 +34,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import text_key, texts, without
+from quillspan.llm.common import mapped, text_key, texts, without
 
 BLOCK, SKETCH, MIN_HITS, MIN_KEPT = 32, 128, 3, 6
-MAX_FEATURES = 1 << 15
 
 _SEPARATORS = bytes(32 if b < 0x80 and not (0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A) else b for b in range(256))
 
@@ -70,11 +71,7 @@ class Item:
         sums = np.concatenate([[0], np.cumsum(hit)])
         starts = np.flatnonzero(hit)
         starts = starts[sums[np.minimum(starts + span, len(region))] - sums[starts] >= least * n]
-        last = -n
         for i in starts.tolist():
-            if i - last < max(1, n // 8):
-                continue
-            last = i
             own = region[i : i + span]
             share = lcs(self.masks, own, n) / n
             if share < least or (best and share < best[0]):
@@ -101,10 +98,7 @@ def read_items(items: DataFrame) -> list[Item]:
 
 
 def _features(items: list[Item]) -> dict[bytes, int]:
-    own = sorted({w for x in items for w in x.words})
-    if len(own) <= MAX_FEATURES:
-        return {w: i for i, w in enumerate(own)}
-    return {w: xxhash.xxh64_intdigest(w) % MAX_FEATURES for w in own}
+    return {w: i for i, w in enumerate(sorted({w for x in items for w in x.words}))}
 
 
 def sketch(docs: DataFrame, feature: dict[bytes, int]) -> tuple[int, np.ndarray, np.ndarray]:
@@ -116,16 +110,19 @@ def sketch(docs: DataFrame, feature: dict[bytes, int]) -> tuple[int, np.ndarray,
     def run(it):
         get, total, blocks = held.value.get, np.zeros(n * width, np.int64), 0
         for b in it:
-            fs, at = [], []
+            fs, at, salts = [], [], []
             for t in texts(b.column(0)):
                 own = words(t)
                 f = np.fromiter(map(get, own, repeat(-1)), np.int32, len(own))
                 place = np.flatnonzero(f >= 0)
                 fs.append(f[place])
                 at.append(place // BLOCK + blocks)
+                salts.append(np.full(len(place), xxhash.xxh64_intdigest(t) - blocks & (1 << 64) - 1, np.uint64))
                 blocks += -(-len(own) // BLOCK)
             f, at = np.concatenate(fs).astype(np.int64), np.concatenate(at)
-            r = (at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(0x2545F4914F6CDD1D)) * np.uint64(0xD6E8FEB86659FD93)
+            # by the text and the block's number in it, whatever rows a task has
+            r = (np.concatenate(salts) + at.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            r = (r ^ r >> np.uint64(29)) * np.uint64(0xD6E8FEB86659FD93)
             column, sign = (r >> np.uint64(40)).astype(np.int64) % SKETCH, np.where(r >> np.uint64(63), 1.0, -1.0)
             total += np.bincount(f * width + column, sign, n * width).astype(np.int64)
             once = np.unique(at * n + f) % n
@@ -135,7 +132,7 @@ def sketch(docs: DataFrame, feature: dict[bytes, int]) -> tuple[int, np.ndarray,
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(v)], ["k", "v"])
 
     # a row per cell: what tasks send is bounded by the benchmark's vocabulary times the sketch's width
-    sums = docs.select("text").mapInArrow(run, "k long, v long").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
+    sums = docs.select("text").transform(mapped, run, "k long, v long").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
     total = np.zeros(n * width + 1, np.int64)
     total[sums.column("k").to_numpy()] = sums.column("v").to_numpy()
     cells = total[:-1].reshape(n, width)
@@ -168,6 +165,7 @@ class Space:
         own = a @ basis
         self.items = (own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)).astype(np.float32)
         self.kept = weight > 0
+        self.least = min(MIN_HITS, min(len({feature[w] for w in x.words}) for x in items))
         self.has = np.zeros((len(items), n + 1), bool)  # the last column: words of no item
         for i, x in enumerate(items):
             self.has[i, [feature[w] for w in x.words]] = True
@@ -201,14 +199,14 @@ def confirmed(docs: DataFrame, items: DataFrame, rank: int = 224, cosine: float
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 3 + [pa.float64()] * 3, strict=True)], ["doc_id", "text_key", "item_id", "cosine", "common", "answer"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text").transform(mapped, run, schema)
 
 
 def search(own: list[bytes], f: np.ndarray, items: list[Item], space: Space, cosine: float, sure: float, close: float, answered: float) -> dict[int, tuple[float, float, float]]:
     """item number: (cosine, common, answer) of its best accepted passage in a document. f: the words' features,
     or -1."""
     place = np.flatnonzero((f >= 0) & space.kept[f])
-    if len(place) < MIN_HITS:
+    if len(place) < space.least:
         return {}
     block = place // BLOCK
     blocks, first = np.unique(block, return_index=True)
@@ -221,7 +219,7 @@ def search(own: list[bytes], f: np.ndarray, items: list[Item], space: Space, cos
     total, hits = vectors.copy(), count.copy()
     total[joined] += vectors[nxt[joined]]
     hits[joined] += count[nxt[joined]]
-    enough = np.flatnonzero(hits >= MIN_HITS)
+    enough = np.flatnonzero(hits >= space.least)
     found: dict[int, tuple[float, float, float]] = {}
     for a in range(0, len(enough), 4096):
         some = enough[a : a + 4096]
