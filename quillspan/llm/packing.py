@@ -4,9 +4,11 @@ Each document's ids (its own end id included) are cut at multiples of the window
 emitted at once. The rest, an item of 1..size-1 ids, goes to the fill level h whose choice minimises
 sum(N(l)^2) over the counts N(l) of windows that stand at level l (Csirik, Johnson and Kenyon's online
 rule); h = 0 opens a new window. N is one array of `size` entries, so a placement costs O(size) whatever
-the number of open windows. Windows stay as the rule has filled them: when more than `max_open` are open, the
-fullest ones, which few items still fit, are closed, and at a partition's end all are. A closed window of n ids
-becomes sequences of power-of-two lengths that sum up to n, which need no padding. `max_open` bounds memory.
+the number of open windows. When more than `max_open` are open, which bounds memory, the fullest ones, that few items
+still fit, are closed, and at a partition's end all are. A closed window of n ids becomes sequences of power-of-two
+lengths that sum up to n, which need no padding. At the end, that is so for windows filled to a share of `keep`
+at least, down to an eighth of a window; their tails and what emptier windows hold are cut anew into full windows,
+or else they would end in many short sequences.
 
 Packing is local to a partition: no row is shuffled, a re-run task gives the same sequences (ids are made
 of the partition number and a counter), and memory is `max_open` windows plus one document.
@@ -81,7 +83,7 @@ def powers(n: int) -> list[int]:
     return [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
 
 
-def pack_partition(rows: Iterator[tuple[int | None, bytes]], first_id: int, size: int, max_open: int = 4096) -> Iterator[tuple]:
+def pack_partition(rows: Iterator[tuple[int | None, bytes]], first_id: int, size: int, max_open: int = 4096, keep: float = 0.75) -> Iterator[tuple]:
     """Pieces of (doc_id, ids as bytes) rows. `first_id`: the partition's first sequence id."""
     bins, seq = SumOfSquares(size), first_id
 
@@ -94,10 +96,11 @@ def pack_partition(rows: Iterator[tuple[int | None, bytes]], first_id: int, size
             offset += k
         seq += 1
 
-    def split(items: list) -> Iterator[tuple]:
-        """A window that isn't full, as sequences of power-of-two lengths."""
-        k = 0
-        for want in powers(sum(len(x[2]) // 4 for x in items)):
+    def split(items: list, least: int = 1) -> Iterator[tuple]:
+        """Items as full windows, and the rest as sequences of power-of-two lengths; returns what would make sequences
+        shorter than `least`."""
+        total, k = sum(len(x[2]) // 4 for x in items), 0
+        for want in [size] * (total // size) + [x for x in powers(total % size) if x >= least]:
             own, left = [], want
             while left:
                 doc, start, ids, n = items[k]
@@ -109,6 +112,7 @@ def pack_partition(rows: Iterator[tuple[int | None, bytes]], first_id: int, size
                 else:
                     items[k] = (doc, start + take, ids[4 * take :], n)
             yield from emit(own, want)
+        return items[k:]
 
     for doc, ids in rows:
         total, start = len(ids) // 4, 0
@@ -120,8 +124,13 @@ def pack_partition(rows: Iterator[tuple[int | None, bytes]], first_id: int, size
                 yield from emit(window, size)
             for items in bins.fullest(max_open):
                 yield from split(items)
+    rest: list = []
     for items in bins.fullest(0):
-        yield from split(items)
+        if sum(len(x[2]) // 4 for x in items) >= keep * size:
+            rest += yield from split(items, size // 8)
+        else:
+            rest += items
+    yield from split(rest)
 
 
 def pack(docs: DataFrame, size: int = 2048, end_id: int = 1, path: str | None = None, max_open: int = 4096) -> DataFrame:
