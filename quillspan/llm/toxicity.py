@@ -9,9 +9,9 @@ Training. Both dictionaries hold the same part, trained on ordinary text, at equ
 texts share costs the same in both. In front of it, zstandard's trainer fills each from its own class: from the
 words of the class's texts that hold an N-gram found in significantly more of its documents than of the
 other class's. Without that choice, a dictionary of toxic text is filled with what is frequent in any text. What
-is missing to equal lengths is ordinary text. A sentence that several documents share counts once, so that
-groups of copies don't decide. The dictionaries come from three of four documents of the sample, the model from
-the fourth.
+is missing to equal lengths is ordinary text in the one dictionary and zeros in the other. A sentence that several
+documents share counts once, so that groups of copies don't decide. The dictionaries come from three of four
+documents of the sample, the model from the fourth.
 
 The sample has labelled rows only, at most `max_labelled` of each class and those of at most `max_chars`
 characters, by the smallest hash of doc_id. It is fitted on the driver. Scoring covers every window of every text.
@@ -150,7 +150,7 @@ def dictionaries(ordinary: Texts, toxic: Texts) -> tuple[bytes, bytes]:
     plain = [s for x in ordinary.sentences for s in x if len(s) >= 8]
     shared, n = trained(plain, SHARED, 40), max(map(len, own))
     filler = b" ".join(plain[-2000:])[:n].ljust(n)
-    return tuple((filler + x)[-n:] + shared for x in own)
+    return (filler + own[0])[-n:] + shared, own[1].rjust(n, b"\0") + shared
 
 
 class Distance:
