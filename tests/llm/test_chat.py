@@ -77,3 +77,13 @@ def test_rewriting_template_is_flagged(spark):
 def test_template_with_a_generation_suffix_between(spark):
     full, spans = chat.render([("user", "a"), ("assistant", "bb")], lambda turns: "BOS" + "".join(f"({r}:{t})" for r, t in turns))
     assert [full[a:b] for a, b in spans] == ["a", "bb"]
+
+
+def test_history_rewritten_late_in_a_long_conversation():
+    def template(turns):
+        return "".join(f"({r}:{t[:2] if len(turns) >= 40 and i < 20 else t})" for i, (r, t) in enumerate(turns))
+
+    turns = [("user", f"text {i}") for i in range(90)]
+    assert chat.render(turns, template)[1] is None
+    full, spans = chat.render(turns[:39], template)
+    assert [full[a:b] for a, b in spans] == [t for _, t in turns[:39]]

@@ -80,3 +80,16 @@ def test_each_stretch_is_judged_by_itself(spark):
     found = decontam.leaks(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, ITEM)).collect()
     assert {(r.doc_id, r.item_id) for r in found} == {(a + k, k) for a in (1000, 2000, 3000) for k in range(10)}
     assert all(0.6 <= r.common < 0.75 <= r.answer for r in found)
+
+
+def test_results_do_not_depend_on_the_file_layout(spark):
+    d = "/root/testdata/sf0.01"
+    docs, items = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "benchmark"))
+    one, nine = (sorted((r.doc_id, r.item_id, round(r.cosine, 4)) for r in decontam.leaks(docs.repartition(n), items).collect()) for n in (1, 9))
+    assert one and one == nine
+
+
+def test_item_of_two_words_is_found(spark):
+    items = spark.createDataFrame([(1, "zyxw vutsr"), (2, "one long item about rivers lakes mountains valleys forests")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "some text of other words with zyxw vutsr in it"), (2, "some text of other words")], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontam.leaks(docs, items).collect()] == [(1, 1)]

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 from conftest_rows import as_rows
 
 from quillspan.llm import licenses, queries
@@ -63,3 +64,19 @@ def test_matching_statistics():
 def test_no_rows_and_clashing_columns(no_docs, clashing, docs):
     assert licenses.scan(no_docs).collect() == []
     assert as_rows(licenses.scan(clashing).drop("spans")) == as_rows(licenses.scan(docs).drop("spans"))
+
+
+def test_every_place_of_a_match_counts():
+    rng = random.Random(8)
+    filler = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    once = "alpha beta gamma delta"
+    template = f"{filler(6)} {once} {filler(8)} {once} {filler(6)}"  # 28 words
+    scanner = licenses.Scanner({"own": (0.1, template)})
+    own = licenses.words(f"{once} {once}".encode())
+    ((label, coverage, first, end),) = scanner.spans(np.array([scanner.vocabulary.get(w, -1) for w in own], np.int32))
+    assert (label, round(coverage * 28), first, end) == ("own", 8, 0, 8)
+
+
+def test_chain_looks_back_beyond_many_matches():
+    own = [(10, 8, 8)] + [(20, 4, 4 + k) for k in range(100)] + [(30, 8, 200)]
+    assert licenses.Scanner._chain(own, 200)[0] == max(8 + 4 + 8, 16) / 200

@@ -92,3 +92,21 @@ def test_histogram(docs, no_docs):
     for q in (0.0, 0.5, 0.9, 1.0):
         assert token_counts.quantile(got, q).first().length == sorted(own)[max(0, int(np.ceil(q * len(own))) - 1)]
     assert token_counts.histogram(no_docs).collect() == []
+
+
+def test_windows_stay_as_the_rule_fills_them():
+    bins = packing.SumOfSquares(10)
+    for x, s in (("a", 3), ("b", 8), ("c", 9)):
+        bins.place(x, s)
+    assert [*bins.fullest(1)] == [["c"], ["b"]] and bins.open == 1 and [*bins.fullest(0)] == [["a"]] and not bins.n.any()
+
+
+def test_little_is_left_open(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    total = None
+    for n in (1, 8, 32):
+        pieces = packing.pack(docs.repartition(n, "doc_id"))
+        r = pieces.selectExpr("sum(length) n", "sum(if(sequence_length = 2048, length, 0)) full", "count(distinct sequence_id) sequences").first()
+        total = total or r.n
+        assert r.n == total  # no id is lost, and there is no padding: sequence_length is the ids' number
+        assert r.full > {1: 0.55, 8: 0.35, 32: 0.3}[n] * r.n and r.sequences < 3 * r.n / 2048, (n, r)

@@ -1,9 +1,11 @@
 """Held-out accuracy of the toxicity scores, and that nothing but text is their input."""
 
+import random
 import zlib
 
 import duckdb
 import numpy as np
+import pytest
 from conftest_rows import as_rows
 from pyspark.sql import functions as F
 
@@ -43,3 +45,25 @@ def test_odd_rows(spark, docs, no_docs, clashing):
     assert as_rows(toxicity.score(clashing, labels).select("doc_id", "score")) == as_rows(got.select("doc_id", "score"))
     none = toxicity.score(docs, labels.limit(0))
     assert none.where("score <> 0 or predicted <> 0").count() == 0 and none.count() == docs.count()
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_invented_vocabularies(spark, seed):
+    """Insults are stems with varied endings; copies of documents must not decide what the dictionaries hold."""
+    rng = random.Random(seed)
+    syllables = ["".join(rng.sample("bcdfghklmnprstvw", 1) + rng.sample("aeiou", 1) + rng.choice([[], ["n"], ["r"], ["st"]])) for _ in range(40)]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.choice((1, 2, 2, 3))))
+    stems = ["".join(rng.choice("qxzjyvk") + rng.choice("aeiou") for _ in range(3)) for _ in range(6)]
+    rows, labels = [], []
+    for i in range(1500):
+        own, toxic = [word() for _ in range(rng.randint(60, 300))], i % 8 == 0
+        for _ in range(rng.randint(3, 6) * toxic):
+            own.insert(rng.randrange(len(own)), rng.choice(stems) + rng.choice(syllables))
+        rows.append((i, " ".join(own)))
+        labels.append((i, int(toxic)))
+    rows += [(2000 + k, rows[1][1]) for k in range(200)]
+    labels += [(2000 + k, 0) for k in range(200)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.score(docs, marks).where("held_out").join(marks, "doc_id").toPandas()
+    assert auc(got.score.to_numpy(), got.toxic.to_numpy()) > 0.95
+    assert got[got.toxic == 1].predicted.mean() > 0.8 and got[got.toxic == 0].predicted.mean() < 0.1
