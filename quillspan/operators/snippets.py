@@ -23,7 +23,7 @@ Hit = tuple[int, str]
 
 def hits(posts: DataFrame, results: DataFrame, terms: DataFrame) -> DataFrame:
     """(query_id, doc_id, hits: array of (pos, term) by position) of results (query_id, doc_id)."""
-    own = posts.join(F.broadcast(terms.select("query_id", "term").distinct()), "term").join(F.broadcast(results.select("query_id", "doc_id")), ["query_id", "doc_id"])
+    own = posts.join(F.broadcast(terms.select("query_id", "term").distinct()), "term").join(results.select("query_id", "doc_id"), ["query_id", "doc_id"])
     places = own.select("query_id", "doc_id", F.explode("positions").alias("pos"), "term")
     return places.groupBy("query_id", "doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("hits"))
 

@@ -87,6 +87,27 @@ def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return ((centers**2).sum(1) - 2 * x @ centers.T).argmin(1)
 
 
+CODE_BLOCK, QUERY_BLOCK = 4096, 256
+
+
+def _blocks(rows: DataFrame, by: str, data: str, most: int) -> DataFrame:
+    """(cell, ids, data): rows (cell, `by`, `data` binary) of a cell packed together, at most `most` a block, `by`
+    ascending. A large cell is dealt out over several tasks."""
+
+    def run(it):
+        for part in it:
+            if len(part):
+                cell = part.cell.to_numpy()
+                cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(part)]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    for c in range(a, b, most):
+                        own = part.iloc[c : min(c + most, b)]
+                        yield pd.DataFrame({"cell": [cell[c]], "ids": [own[by].to_numpy()], "data": [b"".join(own[data])]})
+
+    dealt = rows.select(F.col("cell").cast("int").alias("cell"), by, data).repartition("cell", F.pmod(F.xxhash64(by), F.lit(8)))
+    return dealt.sortWithinPartitions("cell", by).mapInPandas(run, "cell int, ids array<bigint>, data binary")
+
+
 @dataclass
 class IvfPq:
     """Coarse centroids and codebooks. Codes are of a vector's difference from its centroid."""
@@ -123,12 +144,12 @@ class IvfPq:
 
         return vectors.select("doc_id", "embedding").mapInPandas(run, "doc_id bigint, cell int, codes binary")
 
-    def save(self, spark: SparkSession, path: str, codes: DataFrame) -> None:
+    def save(self, spark: SparkSession, path: str, codes: DataFrame, mode: str = "error") -> None:
         """Checkpoint: codes partitioned by cell, so that a search reads only the cells that it probes."""
         flat = lambda a: [(i, [float(x) for x in np.ravel(r)]) for i, r in enumerate(a)]
-        spark.createDataFrame(flat(self.centroids), "i int, v array<double>").coalesce(1).write.parquet(f"{path}/centroids")
-        spark.createDataFrame(flat(self.codebooks), "i int, v array<double>").coalesce(1).write.parquet(f"{path}/codebooks")
-        codes.repartition("cell", F.pmod(F.xxhash64("doc_id"), F.lit(8))).write.partitionBy("cell").parquet(f"{path}/codes")
+        spark.createDataFrame(flat(self.centroids), "i int, v array<double>").coalesce(1).write.mode(mode).parquet(f"{path}/centroids")
+        spark.createDataFrame(flat(self.codebooks), "i int, v array<double>").coalesce(1).write.mode(mode).parquet(f"{path}/codebooks")
+        codes.repartition("cell", F.pmod(F.xxhash64("doc_id"), F.lit(8))).write.mode(mode).partitionBy("cell").parquet(f"{path}/codes")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> tuple[IvfPq, DataFrame]:
@@ -136,30 +157,81 @@ class IvfPq:
         centroids = np.array(c)
         return cls(centroids, np.array(b).reshape(len(b), -1, centroids.shape[1] // len(b))), spark.read.parquet(f"{path}/codes")
 
-    def search(self, codes: DataFrame, queries: list[tuple[int, list[float]]], k: int, nprobe: int = 5, vectors: DataFrame | None = None, rescore: int = 8) -> DataFrame:
+    def probe_blocks(self, queries: DataFrame, nprobe: int) -> DataFrame:
+        """(cell, query_ids, vectors): the queries that probe a cell, in blocks of at most QUERY_BLOCK."""
+        held = queries.sparkSession.sparkContext.broadcast(self.centroids)
+
+        def probe(it):
+            for part in it:
+                if len(part):
+                    v = np.stack(part.vector.to_numpy()).astype(float)
+                    near = np.argsort((held.value**2).sum(1) - 2 * v @ held.value.T, axis=1, kind="stable")[:, :nprobe]
+                    n = near.shape[1]
+                    yield pd.DataFrame({"cell": near.ravel().astype(np.int32), "query_id": np.repeat(part.query_id.to_numpy(), n), "vector": [r.tobytes() for r in np.repeat(v, n, axis=0)]})
+
+        probes = queries.select("query_id", "vector").mapInPandas(probe, "cell int, query_id bigint, vector binary")
+        return _blocks(probes, "query_id", "vector", QUERY_BLOCK).withColumnsRenamed({"ids": "query_ids", "data": "vectors"})
+
+    def search(self, codes: DataFrame, queries: DataFrame | list[tuple[int, list[float]]], k: int, nprobe: int = 5, vectors: DataFrame | None = None, rescore: int = 8) -> DataFrame:
         """(query_id, doc_id, score, rank): nearest by squared distance. Distances come from the codes; with
-        `vectors` the best rescore * k are measured again exactly."""
+        `vectors` the best rescore * k are measured again exactly.
+
+        Both sides are packed into blocks by cell and joined on it, so neither the queries nor a cell has to fit in
+        one task. A pair of blocks gives the best rows of each query alone."""
         spark = codes.sparkSession
-        probes = []
-        for q, v in queries:
-            v = np.asarray(v, float)
-            for c in np.argsort(((self.centroids - v) ** 2).sum(1), kind="stable")[:nprobe].tolist():
-                rest = (v - self.centroids[c]).reshape(len(self.codebooks), 1, -1)
-                probes.append((q, c, ((self.codebooks - rest) ** 2).sum(2).tolist()))
-        probed = spark.createDataFrame(probes, "query_id bigint, cell int, lookup array<array<double>>")
-        cells = sorted({p[1] for p in probes})
-        own = codes.where(F.col("cell").isin(cells)).join(F.broadcast(probed), "cell")
+        if isinstance(queries, list):
+            queries = spark.createDataFrame([(q, [float(x) for x in v]) for q, v in queries], "query_id bigint, vector array<double>")
+        limit = k * (rescore if vectors is not None else 1)
+        pairs = _blocks(codes, "doc_id", "codes", CODE_BLOCK).join(self.probe_blocks(queries, nprobe), "cell")
+        held = spark.sparkContext.broadcast(self)
 
         def run(it):
+            books, centroids = held.value.codebooks, held.value.centroids
+            m = len(books)
             for part in it:
-                if len(part):
-                    code = np.frombuffer(b"".join(part.codes), np.uint8).reshape(len(part), -1)
-                    score = [sum(t[c] for t, c in zip(table, own, strict=True)) for table, own in zip(part.lookup, code, strict=True)]
-                    yield pd.DataFrame({"query_id": part.query_id, "doc_id": part.doc_id, "score": score})
-
-        near = ranked(own.select("query_id", "doc_id", "codes", "lookup").mapInPandas(run, "query_id bigint, doc_id bigint, score double"), k * (rescore if vectors is not None else 1), "score", "doc_id")
+                for cell, ids, data, asked, vecs in zip(part.cell, part.ids, part.data, part.query_ids, part.vectors, strict=True):
+                    code = np.frombuffer(data, np.uint8).reshape(-1, m)
+                    rest = (np.frombuffer(vecs).reshape(len(asked), -1) - centroids[cell]).reshape(len(asked), m, 1, -1)
+                    score = np.zeros((len(asked), len(code)))
+                    for i in range(m):
+                        score += ((books[i] - rest[:, i]) ** 2).sum(2)[:, code[:, i]]
+                    best = np.argsort(score, axis=1, kind="stable")[:, :limit]  # ids ascend within a block
+                    yield pd.DataFrame({"query_id": np.repeat(asked, best.shape[1]), "doc_id": np.asarray(ids)[best.ravel()], "score": np.take_along_axis(score, best, 1).ravel()})
+
+        near = ranked(pairs.select("cell", "ids", "data", "query_ids", "vectors").mapInPandas(run, "query_id bigint, doc_id bigint, score double"), limit, "score", "doc_id")
         if vectors is None:
             return near
-        asked = spark.createDataFrame([(q, [float(x) for x in v]) for q, v in queries], "query_id bigint, vector array<double>")
-        exact = near.select("query_id", "doc_id").join(vectors, "doc_id").join(F.broadcast(asked), "query_id")
+        exact = near.select("query_id", "doc_id").join(vectors, "doc_id").join(queries, "query_id")
         return ranked(exact.select("query_id", "doc_id", squared_distance(F.col("embedding"), F.col("vector")).alias("score")), k, "score", "doc_id")
+
+
+def write_embeddings(docs: DataFrame, model: Callable[[list[str]], np.ndarray], path: str, batch: int = 32) -> DataFrame:
+    """Embeddings of docs (doc_id, text) at `path`, made only if none are there."""
+    spark = docs.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        embed(docs, model, batch).write.mode("overwrite").parquet(path)
+    return read_embeddings(spark, path)
+
+
+def read_embeddings(spark: SparkSession, path: str, dim: int | None = None) -> DataFrame:
+    """(doc_id, embedding); raises ValueError unless both have their types and, if `dim` is given, every vector has that many components."""
+    own = spark.read.parquet(path)
+    types = dict(own.dtypes)
+    if types.get("doc_id") not in ("int", "bigint") or types.get("embedding") not in ("array<float>", "array<double>"):
+        raise ValueError(f"no embeddings: {types}")
+    if dim is not None:
+        odd = own.where(F.col("embedding").isNull() | (F.size("embedding") != dim)).limit(1).count()
+        if odd:
+            raise ValueError(f"vectors that don't have {dim} components")
+    return own.select(F.col("doc_id").cast("bigint").alias("doc_id"), "embedding")
+
+
+def load_or_train(spark: SparkSession, path: str, vectors: DataFrame, **options) -> tuple[IvfPq, DataFrame]:
+    """(model, codes) of the checkpoint at `path`; without one it is trained from `vectors` and saved. Codes are
+    written last, so that a checkpoint cut short counts as none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/codes/_SUCCESS")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        model = IvfPq.train(vectors, **options)
+        model.save(spark, path, model.encode(vectors), "overwrite")
+    return IvfPq.load(spark, path)

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Callable
-from dataclasses import dataclass, field
-from functools import cached_property
+from dataclasses import dataclass, field, replace
+from functools import cached_property, reduce
+from operator import and_
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Row
@@ -24,12 +25,15 @@ from quillspan.operators.index import Index, term_df
 from quillspan.plans import language
 
 MAX_QUERY, MAX_LIMIT, DEFAULT_LIMIT = 100, 500, 10
+ALL = 1 << 30
 
 
 @dataclass(frozen=True)
 class Options:
     """Limits and habits of a search. `compat`: see plans.language; `restem`: the words of a plain query are stemmed
-    once more, so some don't match; quoted stop words never match under compat, else they keep their place."""
+    once more, so some don't match; quoted stop words never match under compat, else they keep their place.
+    `per_term` and `candidates` bound the documents that a query looks at, by the smallest doc_ids, as online search
+    does; `whole()` looks at all."""
 
     bm25: Bm25 = Bm25()
     max_candidate_terms: int = 3
@@ -41,6 +45,9 @@ class Options:
     compat: bool = True
     restem: bool = True
 
+    def whole(self) -> Options:
+        return replace(self, per_term=ALL, candidates=ALL)
+
 
 @dataclass
 class Prepared:
@@ -128,19 +135,24 @@ class SearchEngine:
         o, spark = self.o, self.spark
         cand = [(q.query_id, t, r) for q in queries for r, t in enumerate(candidate_terms(q.terms, idf, o))]
         allowed = ranking.candidates(posts, spark.createDataFrame(cand, "query_id bigint, term string, term_rank int"), o.per_term, o.candidates)
-        # boolean and plain queries: the terms that a document has, as a bit mask, against the clauses' masks
-        bits, masks = [], []
-        for q in (q for q in queries if q.kind != "phrase" and q.clauses):
-            bit = {t: i for i, t in enumerate(dict.fromkeys(t for c in q.clauses for s in c for t in sorted(s)))}
-            if len(bit) > 63:
-                raise language.InvalidQueryError("more than 63 different terms")
-            bits += [(q.query_id, t, 1 << i) for t, i in bit.items()]
-            masks.append((q.query_id, [(sum(1 << bit[t] for t in p), sum(1 << bit[t] for t in n)) for p, n in q.clauses]))
-        one = posts.select("term", "doc_id").join(F.broadcast(spark.createDataFrame(bits, "query_id bigint, term string, bit bigint")), "term").join(allowed, ["query_id", "doc_id"], "left_semi")
-        held = one.groupBy("query_id", "doc_id").agg(F.bit_or("bit").alias("held"))
-        want = spark.createDataFrame(masks, "query_id bigint, clauses array<struct<must: bigint, mustnot: bigint>>")
-        fits = F.exists("clauses", lambda c: (F.col("held").bitwiseAND(c["must"]) == c["must"]) & (F.col("held").bitwiseAND(c["mustnot"]) == 0))
-        boolean = held.join(F.broadcast(want), "query_id").where(fits).select("query_id", "doc_id")
+        # boolean and plain queries: the terms that a document has, as bit masks of 62 terms each, against the clauses'
+        bits, masks, width = [], [], 1
+        split = lambda ns: [sum(1 << n % 62 for n in ns if n // 62 == w) for w in range(width)]
+        own = [(q, {t: i for i, t in enumerate(dict.fromkeys(t for c in q.clauses for s in c for t in sorted(s)))}) for q in queries if q.kind != "phrase" and q.clauses]
+        width = max((len(bit) // 62 + 1 for _, bit in own), default=1)
+        for q, bit in own:
+            bits += [(q.query_id, t, i // 62, 1 << i % 62) for t, i in bit.items()]
+            masks.append((q.query_id, [tuple(split([bit[t] for t in own]) for own in c) for c in q.clauses]))
+        one = posts.select("term", "doc_id").join(F.broadcast(spark.createDataFrame(bits, "query_id bigint, term string, word int, bit bigint")), "term").join(allowed, ["query_id", "doc_id"], "left_semi")
+        word = lambda w: F.coalesce(F.bit_or(F.when(F.col("word") == w, F.col("bit"))), F.lit(0)).alias(f"held{w}")
+        held = one.groupBy("query_id", "doc_id").agg(*(word(w) for w in range(width)))
+        want = spark.createDataFrame(masks, "query_id bigint, clauses array<struct<must: array<bigint>, mustnot: array<bigint>>>")
+
+        def fit(c):
+            rules = [(F.col(f"held{w}").bitwiseAND(c["must"][w]) == c["must"][w]) & (F.col(f"held{w}").bitwiseAND(c["mustnot"][w]) == 0) for w in range(width)]
+            return reduce(and_, rules)
+
+        boolean = held.join(F.broadcast(want), "query_id").where(F.exists("clauses", fit)).select("query_id", "doc_id")
         # phrases: positions less offsets
         places = [(q.query_id, t, i, len(q.phrase)) for q in queries for t, i in q.phrase]
         asked = spark.createDataFrame(places, "query_id bigint, term string, off int, n_terms int")

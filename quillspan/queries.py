@@ -5,8 +5,11 @@ Registered queries use the raw analyzer where SQL is to check them, as SQL has n
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +21,11 @@ from quillspan.plans.search import Options, SearchEngine, prepare
 from quillspan.sources.corpus import FEATURES, from_documents, from_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-RAW = Options(restem=False)
+RAW = Options(restem=False).whole()
 #: Terms that the registered queries ask for, and benchmark items whose first words serve as queries.
 WORDS = ("pour", "tion", "elle", "thon")
+#: Most queries that the ranking model is fitted to, 100 documents each.
+LTR_QUERIES = 500
 
 
 def query(fn: Callable) -> Callable:
@@ -109,7 +114,7 @@ def stemmed_terms(spark, d):
 
 def _boolean(text: str) -> Callable:
     def run(spark, d):
-        engine = SearchEngine(Index.build(documents(spark, d)), options=Options(restem=False, per_term=1 << 30, candidates=1 << 30, candidate_idf=-1e9, max_candidate_terms=64))
+        engine = SearchEngine(Index.build(documents(spark, d)), options=replace(RAW, candidate_idf=-1e9, max_candidate_terms=64))
         own = [prepare(0, text, "raw", engine.o)]
         kept = engine.slice(own)
         return engine.matched(own, kept, engine.weights(kept)).select("doc_id")
@@ -157,11 +162,7 @@ QUERIES["positional_intersect_d3"] = _positional(3)
 @query
 def phrases(spark, d):
     """Every benchmark item's words 1 to 3 as a phrase, against all documents, in one plan."""
-    firsts = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(words(F.col("text")), 1, 3).alias("w")).where(F.size("w") == 3)
-    asked = firsts.select("query_id", F.posexplode("w").alias("off", "term"))
-    places = tokens(documents(spark, d)).join(F.broadcast(asked), "term")
-    starts = places.groupBy("query_id", "doc_id", (F.col("pos") - F.col("off")).alias("start")).agg(F.count("*").alias("n")).where("n = 3")
-    return starts.groupBy("query_id", "doc_id").agg(F.count("*").alias("tf"))
+    return _phrases(item_words(spark, d), documents(spark, d))
 
 
 @query
@@ -228,7 +229,7 @@ QUERIES["search_boolean"] = _search("(thon OR tion) AND NOT elle")
 @query
 def search_many(spark, d):
     """Whole responses of several queries, stemmed, with vectors and snippets."""
-    engine = SearchEngine(Index.build(pages(spark, d), "english"), embeddings(spark, d), options=Options(restem=False))
+    engine = SearchEngine(Index.build(pages(spark, d), "english"), embeddings(spark, d), options=RAW)
     asked = [(1, "thons of tion"), (2, '"tion thon"'), (3, "elle OR pour"), (4, "thon AND NOT elle")]
     first = embeddings(spark, d).orderBy("doc_id").limit(len(asked)).collect()
     return engine.search_many(asked, 10, {q: r.embedding for (q, _), r in zip(asked, first, strict=True)})
@@ -271,32 +272,58 @@ def normalize_truncate(spark, d):
 
 def _ivf(exact: bool) -> Callable:
     def run(spark, d):
-        own = embeddings(spark, d).cache()
-        asked = [(r.doc_id, r.embedding) for r in own.where("doc_id % 20 = 0").collect()]
+        own = embeddings(spark, d)
+        asked = own.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector"))
         model = vectors.IvfPq.train(own)
-        codes = model.encode(own)
-        found = model.search(codes, asked, 10, 32, own, 16) if exact else model.search(codes, asked, 10)
+        nprobe = math.ceil(PROBED * len(model.centroids))
+        found = model.search(model.encode(own), asked, 10, nprobe, own, 32) if exact else model.search(model.encode(own), asked, 10)
         return found.select("query_id", "doc_id", rounded("score"), "rank")
 
     return run
 
 
-#: ivf_search probes enough cells, and measures enough of their vectors again, for a recall of 0.9; ivfpq_search has
-#: the defaults, five cells, and goes by codes alone.
+#: Share of the cells that ivf_search probes, whatever their number; ivfpq_search has the defaults, five cells, and goes
+#: by codes alone.
+PROBED = 0.6
 QUERIES["ivf_search"], QUERIES["ivfpq_search"] = _ivf(True), _ivf(False)
 
 
+def item_words(spark, d) -> DataFrame:
+    """(query_id, off, term): the first three words of each benchmark item."""
+    firsts = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(words(F.col("text")), 1, 3).alias("w"))
+    return firsts.select("query_id", F.posexplode("w").alias("off", "term"))
+
+
+def _phrases(asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, doc_id, tf) of three-word phrases."""
+    places = tokens(docs).join(asked, "term")
+    starts = places.groupBy("query_id", "doc_id", (F.col("pos") - F.col("off")).alias("start")).agg(F.count("*").alias("n")).where("n = 3")
+    return starts.groupBy("query_id", "doc_id").agg(F.count("*").alias("tf"))
+
+
 def _run(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(run, qrels, rows with labels): benchmark items as queries, the documents by hash as a run of ranks 1..100."""
-    ids = table(spark, d, "documents").select("doc_id", (F.col("doc_id") * 7919 % 10007).alias("h"))
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"))
-    pairs = ids.crossJoin(F.broadcast(asked)).withColumn("score", (F.col("h") * (F.col("qid") + 3)) % 1009 / 1009.0)
-    run = ranking.ranked(pairs, 100, F.desc("score"), "doc_id", by="qid").select("qid", "doc_id", "rank", "score")
-    qrels = run.where(F.col("rank") == F.col("qid") % 12 + 1).select("qid", "doc_id")
-    rows = run.join(qrels.withColumn("label", F.lit(1)), ["qid", "doc_id"], "left").select(F.col("qid").alias("query_id"), "doc_id", "score", F.coalesce("label", F.lit(0)).alias("label"))
+    """(run, qrels, rows with labels). Queries: the first words of benchmark items; run: the first 100 documents by BM25;
+    judged: the document with the smallest id that has the words as a phrase. Rows: queries with both."""
+    docs, asked, p = documents(spark, d), item_words(spark, d), Bm25(title_boost=0.0)
+    lengths = doc_lengths(docs)
+    stats = corpus_stats(lengths)
+    own = postings(tokens(docs).join(asked.select("term").distinct(), "term", "left_semi"))
+    known = term_df(own).crossJoin(F.broadcast(stats.select("num_docs")))  # one row
+    weights = asked.select("query_id", "term").distinct().join(known, "term").select("query_id", "term", idf(F.col("num_docs"), F.col("df"), p.clamp_idf).alias("idf"), F.lit(1).alias("weight"))
+    matched = own.select("term", "doc_id").join(weights.select("query_id", "term"), "term").select("query_id", "doc_id").distinct()
+    scores = ranking.score_bm25(matched, own, weights, lengths, stats, None, p).select(F.col("query_id").alias("qid"), "doc_id", rounded("score"))
+    run = ranking.ranked(scores, 100, F.desc("score"), "doc_id", by="qid")
+    qrels = _phrases(asked, docs).groupBy(F.col("query_id").alias("qid")).agg(F.min("doc_id").alias("doc_id"))
+    asked = asked.select(F.col("query_id").alias("qid")).distinct()
+    rows = learning.assemble(asked, qrels, run).select(F.col("qid").alias("query_id"), "doc_id", "score", (F.col("doc_id") == F.col("positive")).cast("int").alias("label"))
     return run, qrels, rows
 
 
+@query
+def metric_means(spark, d):
+    return learning.mean_metrics(_run(spark, d)[2]).select("n_queries", *(rounded(c) for c in ("mrr", "ndcg", "loss")))
+
+
 @query
 def negatives_hard(spark, d):
     run, qrels, _ = _run(spark, d)
@@ -347,13 +374,19 @@ def ltr_features(spark, d):
 
 @query
 def ltr_rerank(spark, d):
-    """Features, a scorer trained on half of the queries, and the model's order."""
-    rows = ltr_features(spark, d).withColumn("label", (F.col("bm25_body") > 1).cast("int"))
-    own = [r for r in rows.where("doc_id % 5 = 0 and matched_terms > 0").orderBy("query_id", "doc_id").collect()]
-    import numpy as np
-
-    lists = [(np.array([[r[c] for c in FEATURES] for r in own if r.query_id == q]), np.array([float(r.label) for r in own if r.query_id == q])) for q in sorted({r.query_id for r in own})]
-    model, _ = learning.train(lists, lists, hidden=32, epochs=20)
+    """The BM25 run of every benchmark item, with features, in the order of a scorer. Labels: the words stand as a
+    phrase. It is trained on at most LTR_QUERIES queries of the train split and judged by those of the val split."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(words(F.col("text")), 1, 3), " ").alias("query"))
+    run = _run(spark, d)[0].select(F.col("qid").alias("query_id"), "doc_id")
+    rows = learning.features(Index.build(documents(spark, d)), run, [(r.qid, r.query) for r in asked.collect()])
+    rows = rows.withColumn("label", F.col("phrase_match").cast("int"))
+    sampled = learning.sample_queries(learning.split_queries(asked).where("split <> 'test'"), LTR_QUERIES)
+    own = sampled.select("split", F.col("qid").alias("query_id")).join(rows, "query_id").orderBy("query_id", "doc_id").collect()
+    lists: dict[str, dict] = {"train": {}, "val": {}}
+    for r in own:
+        lists[r.split].setdefault(r.query_id, []).append(r)
+    made = {s: [(np.array([[r[c] for c in FEATURES] for r in g]), np.array([float(r.label) for r in g])) for g in of.values()] for s, of in lists.items()}
+    model, _ = learning.train(made["train"], made["val"], hidden=32, epochs=20)
     return learning.rerank(rows, model).select("query_id", "doc_id", rounded("score"), "rank")
 
 

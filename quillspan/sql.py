@@ -87,10 +87,19 @@ SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_numb
 
 
 _L2 = _SUM("(e.v[i] - q.v[i]) * (e.v[i] - q.v[i])")
-_RUN = """pairs AS (SELECT item_id AS qid, doc_id, (((doc_id * 7919) % 10007) * (item_id + 3)) % 1009 / 1009.0::DOUBLE AS score FROM documents CROSS JOIN benchmark),
+_ITEMS = f"""firsts AS (SELECT item_id AS query_id, list_slice({_words("text")}, 1, 3) AS w FROM benchmark),
+asked AS (SELECT query_id, unnest(w) AS term, unnest(range(len(w))) AS off FROM firsts),
+phrases AS (SELECT query_id, doc_id, count(*)::BIGINT AS tf FROM (SELECT query_id, doc_id, pos - off AS start FROM tokens JOIN asked USING (term) GROUP BY ALL HAVING count(*) = 3) GROUP BY ALL)"""
+_RUN = f"""{_DOCS}, {_TOKENS}, {_ITEMS},
+known AS (SELECT DISTINCT query_id, term, {_idf()} AS idf FROM asked JOIN terms USING (term) CROSS JOIN stats),
+shares AS (SELECT query_id, doc_id, idf, tf / (0.25 + 0.75 * greatest(body_len, 1) / avg_body_len) AS w FROM postings JOIN known USING (term) JOIN lengths USING (doc_id) CROSS JOIN stats),
+pairs AS (SELECT query_id AS qid, doc_id, round(sum(idf * w * 2.2 / (w + 1.2)), 6) AS score FROM shares GROUP BY ALL),
 run AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM pairs QUALIFY rank <= 100),
-qrels AS (SELECT qid, doc_id FROM run WHERE rank = qid % 12 + 1),
-labelled AS (SELECT r.*, CASE WHEN q.doc_id IS NULL THEN 0 ELSE 1 END AS label FROM run r LEFT JOIN qrels q USING (qid, doc_id))"""
+qrels AS (SELECT query_id AS qid, min(doc_id) AS doc_id FROM phrases GROUP BY ALL),
+labelled AS (SELECT r.*, CASE WHEN q.doc_id = r.doc_id THEN 1 ELSE 0 END AS label FROM run r JOIN qrels q USING (qid))"""
+_METRICS = """metrics AS (SELECT qid, coalesce(1.0 / min(rank) FILTER (WHERE label > 0 AND rank <= 10), 0) AS mrr,
+coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE label > 0 AND rank <= 10), 0) AS ndcg,
+CASE WHEN sum(label) = 0 THEN 0 ELSE ln(sum(exp(score))) - sum(label * score) / sum(label) END AS loss FROM labelled GROUP BY qid)"""
 _NEG = f"""WITH {_RUN}, other AS (SELECT r.* FROM run r JOIN qrels q ON r.qid = q.qid AND r.doc_id <> q.doc_id),
 hard AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY rank)::INT AS n FROM other WHERE rank <= 10 QUALIFY n <= 10)"""
 _FEATURE_QUERIES = "(VALUES (0, 'thon', 0), (0, 'tion', 1), (1, 'elle', 0), (1, 'pour', 1), (1, 'tion', 2), (2, 'the', 0), (2, 'thon', 1), (2, 'thon', 2))"
@@ -114,7 +123,7 @@ ORACLE_SQL = {
     "find_docs_not_tf": _with(_DOCS, _TOKENS, _PAIR) + "SELECT doc_id, tf FROM a WHERE doc_id NOT IN (SELECT doc_id FROM b)",
     "candidate_caps": _with(_DOCS, _TOKENS, "c AS (SELECT *, CASE term WHEN 'thon' THEN 0 ELSE 1 END AS t, row_number() OVER (PARTITION BY term ORDER BY doc_id) AS n FROM postings WHERE term IN ('thon', 'tion'))") + "SELECT doc_id FROM (SELECT doc_id, min(t) AS t FROM c WHERE n <= 40 GROUP BY doc_id) ORDER BY t, doc_id LIMIT 60",
     **{f"positional_intersect_d{k}": _D + f"SELECT x.doc_id, count(*)::INT AS tf, string_agg(x.pos::VARCHAR, ' ' ORDER BY x.pos) AS positions FROM tokens x JOIN tokens y ON x.doc_id = y.doc_id AND y.pos = x.pos + {k} WHERE x.term = 'de' AND y.term = 'la' GROUP BY x.doc_id" for k in (1, 3)},
-    "phrases": _with(_DOCS, _TOKENS, f"firsts AS (SELECT item_id AS query_id, list_slice({_words('text')}, 1, 3) AS w FROM benchmark)", "asked AS (SELECT query_id, unnest(w) AS term, unnest(range(3)) AS off FROM firsts WHERE len(w) = 3)") + "SELECT query_id, doc_id, count(*)::BIGINT AS tf FROM (SELECT query_id, doc_id, pos - off AS start FROM tokens JOIN asked USING (term) GROUP BY ALL HAVING count(*) = 3) GROUP BY ALL",
+    "phrases": _with(_DOCS, _TOKENS, _ITEMS) + "SELECT query_id, doc_id, tf FROM phrases",
     "phrase_search": _D + "SELECT x.doc_id, count(*)::INT AS tf FROM tokens x JOIN tokens y ON x.doc_id = y.doc_id AND y.pos = x.pos + 1 JOIN tokens z ON x.doc_id = z.doc_id AND z.pos = x.pos + 2 WHERE x.term = 'anea' AND y.term = 'eriner' AND z.term = 'thanea' GROUP BY x.doc_id",
     "phrase_with_stopword": _D + "SELECT x.doc_id, count(*)::INT AS tf FROM tokens x JOIN tokens y ON x.doc_id = y.doc_id AND y.pos = x.pos + 1 WHERE x.term = 'the' AND y.term = 'thon' GROUP BY x.doc_id",
     "bm25_body_topk": _with(_DOCS, _TOKENS, _scores(_ASKED, _ANY, False)) + _top(),
@@ -129,9 +138,8 @@ ORACLE_SQL = {
     "normalize_truncate": f"WITH {_E}, t AS (SELECT doc_id, v[1:16] AS v FROM e), n AS (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM t) SELECT doc_id, unnest(range(16))::INT AS i, round(unnest(v) / norm, 6) AS x FROM n",
     "negatives_hard": _NEG + "SELECT qid, doc_id, n FROM hard",
     "negatives_soft": _NEG + "SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY rank DESC)::INT AS n FROM other ANTI JOIN hard USING (qid, doc_id) WHERE rank BETWEEN 80 AND 100 QUALIFY n = 1",
-    "mrr_at_10": f"WITH {_RUN} SELECT qid AS query_id, round(coalesce(1.0 / min(rank) FILTER (WHERE label > 0 AND rank <= 10), 0), 6) AS mrr FROM labelled GROUP BY qid",
-    "ndcg_at_10": f"WITH {_RUN} SELECT qid AS query_id, round(coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE label > 0 AND rank <= 10), 0), 6) AS ndcg FROM labelled GROUP BY qid",
-    "softmax_loss": f"WITH {_RUN} SELECT qid AS query_id, round(CASE WHEN sum(label) = 0 THEN 0 ELSE ln(sum(exp(score))) - sum(label * score) / sum(label) END, 6) AS loss FROM labelled GROUP BY qid",
+    **{name: f"WITH {_RUN}, {_METRICS} SELECT qid AS query_id, round({c}, 6) AS {c} FROM metrics" for name, c in (("mrr_at_10", "mrr"), ("ndcg_at_10", "ndcg"), ("softmax_loss", "loss"))},
+    "metric_means": f"WITH {_RUN}, {_METRICS} SELECT count(*)::BIGINT AS n_queries, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, round(avg(loss), 6) AS loss FROM metrics",
     "zscore": "WITH s AS (SELECT avg(n_chars) AS m, greatest(stddev_pop(n_chars), 1e-6) AS sd FROM documents) SELECT doc_id, round(greatest(least((n_chars - m) / sd, 8), -8), 6) AS n_chars FROM documents CROSS JOIN s",
     "split": "WITH n AS (SELECT count(*) AS n FROM documents) SELECT unnest(['train', 'val', 'test']) AS split, unnest([floor(0.8 * n)::BIGINT, floor(0.1 * n)::BIGINT, n - floor(0.8 * n)::BIGINT - floor(0.1 * n)::BIGINT]) AS n FROM n",
     "ltr_features": _with(
