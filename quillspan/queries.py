@@ -274,7 +274,7 @@ def _ivf(exact: bool) -> Callable:
     def run(spark, d):
         own = embeddings(spark, d)
         asked = own.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector"))
-        model = vectors.IvfPq.train(own)
+        model = vectors.IvfPq.train(own, m=CODE_BYTES if exact else 8)
         nprobe = math.ceil(PROBED * len(model.centroids))
         found = model.search(model.encode(own), asked, 10, nprobe, own, 32) if exact else model.search(model.encode(own), asked, 10)
         return found.select("query_id", "doc_id", rounded("score"), "rank")
@@ -282,9 +282,9 @@ def _ivf(exact: bool) -> Callable:
     return run
 
 
-#: Share of the cells that ivf_search probes, whatever their number; ivfpq_search has the defaults, five cells, and goes
-#: by codes alone.
-PROBED = 0.6
+#: Share of the cells that ivf_search probes, whatever their number, and bytes of its codes; ivfpq_search has the
+#: defaults, five cells and eight bytes, and goes by codes alone.
+PROBED, CODE_BYTES = 0.6, 32
 QUERIES["ivf_search"], QUERIES["ivfpq_search"] = _ivf(True), _ivf(False)
 
 
