@@ -8,8 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from quillspan.operators.ranking import ranked
 
@@ -62,12 +65,94 @@ def embed(docs: DataFrame, model: Callable[[list[str]], np.ndarray], batch: int
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, embedding array<float>")
 
 
+#: Rows of a tile of vectors and of queries, the queries of one matrix product, and the most queries that meet every
+#: vector in place.
+TILE_VECTORS, TILE_QUERIES, CHUNK, FEW = 1 << 15, 1 << 13, 128, 8
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """(query_id, doc_id, score, rank): exact nearest vectors of queries (query_id, vector); score is the inner
-    product, or the squared distance. A query set, not the corpus, is what every vector meets."""
-    score = dot(F.col("embedding"), F.col("vector")) if metric == "ip" else squared_distance(F.col("embedding"), F.col("vector"))
-    pairs = vectors.select("doc_id", "embedding").crossJoin(F.broadcast(queries.select("query_id", "vector"))).select("query_id", "doc_id", score.alias("score"))
-    return ranked(pairs, k, F.desc("score") if metric == "ip" else F.asc("score"), "doc_id")
+    product, or the squared distance. Every query meets every vector: more than a few in tiles of both, each of
+    which gives the best k of its queries. Rows with an odd vector (null, of another length, not finite) meet the
+    others pair by pair; a pair without a score ranks last."""
+    product = metric == "ip"
+    own, asked = vectors.select("doc_id", "embedding"), queries.select("query_id", "vector")
+    n_asked, dim = asked.agg(F.count("*"), F.max(F.size("vector"))).first()
+    if n_asked <= FEW:
+        return _best(_pairs(own, asked, product), k, product)
+    even = lambda i, v: F.coalesce(F.col(i).isNotNull() & (F.size(v) == dim) & F.forall(v, lambda x: F.abs(x) < F.lit(1e100)), F.lit(False))
+    good, fit = even("doc_id", "embedding"), even("query_id", "vector")
+    n, n_odd = own.agg(F.count("*"), F.count_if(~good)).first()
+    n_unfit = asked.agg(F.count_if(~fit)).first()[0]
+    v, q = max(-(-n // TILE_VECTORS), min(32, n // 1024), 1), -(-n_asked // TILE_QUERIES)
+
+    def run(left, right):
+        x, ids = _matrix(left, "embedding"), left.column("doc_id").to_numpy()
+        row, at, score = _top(_matrix(right, "vector"), x, ids, k, product)
+        return pa.table({"query_id": right.column("query_id").to_numpy()[row], "doc_id": ids[at], "score": score})
+
+    schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c, df in (("query_id", asked), ("doc_id", own))] + [T.StructField("score", T.DoubleType())])
+    found = _tiles(own.where(good), asked.where(fit), v, q).applyInArrow(run, schema)
+    if n_odd:
+        found = found.unionByName(_pairs(own.where(~good), asked, product))
+    if n_unfit:
+        found = found.unionByName(_pairs(own.where(good), asked.where(~fit), product))
+    return _best(found, k, product)
+
+
+def _pairs(vectors: DataFrame, queries: DataFrame, product: bool) -> DataFrame:
+    score = dot(F.col("embedding"), F.col("vector")) if product else squared_distance(F.col("embedding"), F.col("vector"))
+    return vectors.crossJoin(F.broadcast(queries)).select("query_id", "doc_id", score.alias("score"))
+
+
+def _best(scores: DataFrame, k: int, product: bool) -> DataFrame:
+    return ranked(scores, k, F.desc_nulls_last("score") if product else F.asc_nulls_last("score"), "doc_id")
+
+
+def _tiles(vectors: DataFrame, queries: DataFrame, v: int, q: int) -> PandasCogroupedOps:
+    """Both sides dealt out by a hash of their id to v and q groups, and cogrouped by pair of groups."""
+    group = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = vectors.withColumn("tv", group("doc_id", v)).withColumn("tq", every(q))
+    b = queries.withColumn("tq", group("query_id", q)).withColumn("tv", every(v))
+    a, b = (df.repartition(v * q, "tv", "tq").groupBy("tv", "tq") for df in (a, b))
+    return a.cogroup(b)
+
+
+def _matrix(table: pa.Table, column: str) -> np.ndarray:
+    own = table.column(column).combine_chunks()
+    own = pa.concat_arrays(own.chunks) if isinstance(own, pa.ChunkedArray) else own
+    return own.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(own), -1) if len(own) else np.empty((0, 0))
+
+
+def _top(asked: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, product: bool = False, barred: Callable[[slice], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of asked, row of x, score) of the best k for each row of asked; equal scores by id. A matrix product
+    picks the rows that can be among them, within its rounding; their scores are then summed one component after the
+    other, as SQL does. barred(rows of asked): a mask of rows of x that are left out."""
+    out = [(np.empty(0, int), np.empty(0, int), np.empty(0))]
+    xt = np.ascontiguousarray(x.T)
+    size = (xt**2).sum(0)
+    for a in range(0, len(asked) if len(x) else 0, CHUNK):
+        own = asked[a : a + CHUNK]
+        near = own @ xt
+        near *= -1 if product else -2
+        if not product:
+            near += size
+        if barred is not None:
+            near[barred(slice(a, a + len(own)))] = np.inf
+        cut = np.full(len(own), np.finfo(float).max)
+        if len(x) > k:
+            slack = 1e-12 * (np.sqrt((own**2).sum(1)) + math.sqrt(size.max())) ** 2
+            cut = np.minimum(np.partition(near, k - 1, axis=1)[:, k - 1] + slack, cut)
+        row, at = np.nonzero(near <= cut[:, None])
+        score = np.zeros(len(row))
+        for q, c in zip(np.ascontiguousarray(own.T), xt, strict=True):
+            score += q[row] * c[at] if product else (c[at] - q[row]) ** 2
+        order = np.lexsort((ids[at], -score if product else score, row))
+        row, at, score = row[order], at[order], score[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+        out.append((row[kept] + a, at[kept], score[kept]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
