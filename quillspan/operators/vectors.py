@@ -169,28 +169,12 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
 
 
 def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    return ((centers**2).sum(1) - 2 * x @ centers.T).argmin(1)
+    size = (centers**2).sum(1)
+    return np.concatenate([np.empty(0, int)] + [(size - 2 * x[a : a + 4096] @ centers.T).argmin(1) for a in range(0, len(x), 4096)])
 
 
-CODE_BLOCK, QUERY_BLOCK = 4096, 256
-
-
-def _blocks(rows: DataFrame, by: str, data: str, most: int) -> DataFrame:
-    """(cell, ids, data): rows (cell, `by`, `data` binary) of a cell packed together, at most `most` a block, `by`
-    ascending. A large cell is dealt out over several tasks."""
-
-    def run(it):
-        for part in it:
-            if len(part):
-                cell = part.cell.to_numpy()
-                cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(part)]
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    for c in range(a, b, most):
-                        own = part.iloc[c : min(c + most, b)]
-                        yield pd.DataFrame({"cell": [cell[c]], "ids": [own[by].to_numpy()], "data": [b"".join(own[data])]})
-
-    dealt = rows.select(F.col("cell").cast("int").alias("cell"), by, data).repartition("cell", F.pmod(F.xxhash64(by), F.lit(8)))
-    return dealt.sortWithinPartitions("cell", by).mapInPandas(run, "cell int, ids array<bigint>, data binary")
+#: Rows of a tile of codes and of queries.
+CODE_BLOCK, QUERY_BLOCK = 1 << 17, 1 << 12
 
 
 @dataclass
@@ -242,48 +226,43 @@ class IvfPq:
         centroids = np.array(c)
         return cls(centroids, np.array(b).reshape(len(b), -1, centroids.shape[1] // len(b))), spark.read.parquet(f"{path}/codes")
 
-    def probe_blocks(self, queries: DataFrame, nprobe: int) -> DataFrame:
-        """(cell, query_ids, vectors): the queries that probe a cell, in blocks of at most QUERY_BLOCK."""
-        held = queries.sparkSession.sparkContext.broadcast(self.centroids)
-
-        def probe(it):
-            for part in it:
-                if len(part):
-                    v = np.stack(part.vector.to_numpy()).astype(float)
-                    near = np.argsort((held.value**2).sum(1) - 2 * v @ held.value.T, axis=1, kind="stable")[:, :nprobe]
-                    n = near.shape[1]
-                    yield pd.DataFrame({"cell": near.ravel().astype(np.int32), "query_id": np.repeat(part.query_id.to_numpy(), n), "vector": [r.tobytes() for r in np.repeat(v, n, axis=0)]})
-
-        probes = queries.select("query_id", "vector").mapInPandas(probe, "cell int, query_id bigint, vector binary")
-        return _blocks(probes, "query_id", "vector", QUERY_BLOCK).withColumnsRenamed({"ids": "query_ids", "data": "vectors"})
+    def decode(self, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The vectors that codes stand for."""
+        return self.centroids[cell] + np.concatenate([b[c] for b, c in zip(self.codebooks, codes.T, strict=True)], axis=1)
 
     def search(self, codes: DataFrame, queries: DataFrame | list[tuple[int, list[float]]], k: int, nprobe: int = 5, vectors: DataFrame | None = None, rescore: int = 8) -> DataFrame:
         """(query_id, doc_id, score, rank): nearest by squared distance. Distances come from the codes; with
         `vectors` the best rescore * k are measured again exactly.
 
-        Both sides are packed into blocks by cell and joined on it, so neither the queries nor a cell has to fit in
-        one task. A pair of blocks gives the best rows of each query alone."""
+        Codes and queries meet in tiles, so neither the queries nor a cell has to fit in one task. A tile gives the
+        best rows of each of its queries over all cells that the query probes."""
         spark = codes.sparkSession
         if isinstance(queries, list):
             queries = spark.createDataFrame([(q, [float(x) for x in v]) for q, v in queries], "query_id bigint, vector array<double>")
         limit = k * (rescore if vectors is not None else 1)
-        pairs = _blocks(codes, "doc_id", "codes", CODE_BLOCK).join(self.probe_blocks(queries, nprobe), "cell")
+        n, n_asked = codes.count(), queries.count()
+        v, q = max(-(-n // CODE_BLOCK), 1), max(-(-n_asked // QUERY_BLOCK), min(16, n_asked // CHUNK), 1)
         held = spark.sparkContext.broadcast(self)
 
-        def run(it):
-            books, centroids = held.value.codebooks, held.value.centroids
-            m = len(books)
-            for part in it:
-                for cell, ids, data, asked, vecs in zip(part.cell, part.ids, part.data, part.query_ids, part.vectors, strict=True):
-                    code = np.frombuffer(data, np.uint8).reshape(-1, m)
-                    rest = (np.frombuffer(vecs).reshape(len(asked), -1) - centroids[cell]).reshape(len(asked), m, 1, -1)
-                    score = np.zeros((len(asked), len(code)))
-                    for i in range(m):
-                        score += ((books[i] - rest[:, i]) ** 2).sum(2)[:, code[:, i]]
-                    best = np.argsort(score, axis=1, kind="stable")[:, :limit]  # ids ascend within a block
-                    yield pd.DataFrame({"query_id": np.repeat(asked, best.shape[1]), "doc_id": np.asarray(ids)[best.ravel()], "score": np.take_along_axis(score, best, 1).ravel()})
-
-        near = ranked(pairs.select("cell", "ids", "data", "query_ids", "vectors").mapInPandas(run, "query_id bigint, doc_id bigint, score double"), limit, "score", "doc_id")
+        def run(left, right):
+            own, asked = held.value, _matrix(right, "vector")
+            if not (len(left) and len(right)):
+                return pa.table({"query_id": np.empty(0, int), "doc_id": np.empty(0, int), "score": np.empty(0)})
+            ids, cell = left.column("doc_id").to_numpy(), left.column("cell").to_numpy()
+            code = np.frombuffer(b"".join(left.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
+            x, query_id = own.decode(cell, code), right.column("query_id").to_numpy()
+            near = np.argsort((own.centroids**2).sum(1) - 2 * asked @ own.centroids.T, axis=1, kind="stable")[:, :nprobe]
+
+            def barred(rows: slice) -> np.ndarray:
+                out = np.ones((len(near[rows]), len(own.centroids)), bool)
+                np.put_along_axis(out, near[rows], False, axis=1)
+                return out[:, cell]
+
+            row, at, score = _top(asked, x, ids, limit, barred=barred)
+            return pa.table({"query_id": query_id[row], "doc_id": ids[at], "score": score})
+
+        near = _tiles(codes.select("doc_id", F.col("cell").cast("int").alias("cell"), "codes"), queries.select("query_id", "vector"), v, q)
+        near = ranked(near.applyInArrow(run, "query_id bigint, doc_id bigint, score double"), limit, "score", "doc_id")
         if vectors is None:
             return near
         exact = near.select("query_id", "doc_id").join(vectors, "doc_id").join(queries, "query_id")

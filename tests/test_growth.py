@@ -29,3 +29,24 @@ def test_knn_in_tiles(spark, monkeypatch, metric):
     assert sorted((r.query_id, r["rank"], r.doc_id) for r in got.collect()) == want
     least = vectors.knn(own.where("doc_id >= 595"), asked, 7, metric).where("query_id = 0").orderBy("rank").collect()
     assert len(least) == 6 and (least[-1].doc_id, least[-1].score) == (900, None)
+
+
+def test_ivf_rows_of_a_tile(spark):
+    """A tile gives the best rows of a query over all cells, not those of each cell."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (2000, 8))
+    own = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id bigint, embedding array<double>")
+    asked = own.where("doc_id < 60").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector"))
+    model = vectors.IvfPq.train(own, nlist=20, m=8)
+    codes = model.encode(own)
+    got = model.search(codes, asked, 5, 12)
+    assert "FlatMapCoGroupsInArrow" in plan(got)
+    rows = codes.orderBy("doc_id").collect()
+    cell, code = np.array([r.cell for r in rows]), np.array([list(r.codes) for r in rows])
+    seen = np.array([model.centroids[c] + np.concatenate([b[k] for b, k in zip(model.codebooks, o, strict=True)]) for c, o in zip(cell, code, strict=True)])
+    want = []
+    for q in range(60):
+        near = np.argsort(((model.centroids - x[q]) ** 2).sum(1), kind="stable")[:12]
+        score = np.where(np.isin(cell, near), ((seen - x[q]) ** 2).sum(1).round(9), np.inf)
+        want += [(q, r + 1, int(i)) for r, i in enumerate(np.lexsort((np.arange(2000), score))[:5])]
+    assert sorted((r.query_id, r["rank"], r.doc_id) for r in got.collect()) == want
