@@ -116,7 +116,7 @@ class SearchEngine:
     def slice(self, queries: list[Prepared]) -> DataFrame:
         """Postings of the queries' terms, kept until `release` as each step of a search reads them."""
         used = {t for q in queries for t in (*q.terms, *(t for t, _ in q.phrase), *(t for c in q.clauses for s in c for t in s))}
-        posts = self.index.postings.where(F.col("term").isin(sorted(used))).persist(StorageLevel.MEMORY_AND_DISK)
+        posts = self.index.of(used).persist(StorageLevel.MEMORY_AND_DISK)
         self._held.append(posts)
         return posts
 

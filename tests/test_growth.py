@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspan.operators import vectors
+from quillspan.functions.scoring import Bm25
+from quillspan.operators import matching, ranking, vectors
+from quillspan.operators.index import by_repetition, corpus_stats, doc_lengths, postings, tokens
 
 
 def plan(df) -> str:
@@ -50,3 +52,44 @@ def test_ivf_rows_of_a_tile(spark):
         score = np.where(np.isin(cell, near), ((seen - x[q]) ** 2).sum(1).round(9), np.inf)
         want += [(q, r + 1, int(i)) for r, i in enumerate(np.lexsort((np.arange(2000), score))[:5])]
     assert sorted((r.query_id, r["rank"], r.doc_id) for r in got.collect()) == want
+
+
+DOCS = [(i, " ".join(("Alpha the beta gamma", "gamma alpha alpha beta", "THE delta extraordinary beta", "alpha beta gamma alpha beta gamma")[(i + k) % 4] for k in range(1 + i % 5))) for i in range(40)]
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    rows = [(i, None, None, t) for i, t in [*DOCS, (50, None), (51, ""), (52, "Ünd älpha béta alpha!extraordinary2 extraordinary"), (7, "alpha beta again"), (None, "beta")]]
+    return spark.createDataFrame(rows, "doc_id bigint, url string, title string, body string")
+
+
+@pytest.mark.parametrize("terms", [None, ("alpha", "extraordinary", "extraordinary2", "the", "none")])
+def test_postings_without_shuffle(spark, corpus, terms):
+    """As a grouping of all words gives them, also for a doc_id that several rows have or none has."""
+    got = postings(corpus, terms=terms)
+    assert "collect_list(pos#" not in plan(got) and "MapInArrow" in plan(got)
+    want = tokens(corpus).groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    want = want if terms is None else want.where(F.col("term").isin(*terms))
+    key = lambda df: sorted(((r.term, r.doc_id, r.tf, r.positions) for r in df.collect()), key=str)
+    assert key(got) == key(want)
+
+
+def test_best_bm25_keeps_ties(spark, corpus):
+    """A task's best rows hold all that can be first after rounding, and whole scores."""
+    docs = by_repetition(corpus)[0].repartition(3)
+    weights = [(1, "alpha", 0.7), (1, "beta", 0.4), (2, "gamma", -0.3), (3, "none", 1.0)]
+    lengths, stats = doc_lengths(docs), corpus_stats(doc_lengths(docs))
+    own = postings(docs, terms=[t for _, t, _ in weights])
+    terms = spark.createDataFrame([(*w, 1) for w in weights], "query_id bigint, term string, idf double, weight int")
+    matched = own.join(F.broadcast(terms), "term").select("query_id", "doc_id").distinct()
+    rows = lambda df: sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in ranking.ranked(df.withColumn("score", F.round("score", 6)), 4, F.desc("score"), "doc_id").collect())
+    whole = ranking.score_bm25(matched, own, terms, lengths, stats, None, Bm25(title_boost=0.0))
+    assert rows(ranking.best_bm25(docs, weights, stats.first().avg_body_len, 4)) == rows(whole)
+
+
+def test_find_phrases(spark, corpus):
+    docs = by_repetition(corpus)[0]
+    asked = {1: ["alpha", "beta", "gamma"], 2: ["gamma", "alpha", "alpha"], 3: ["alpha", "the", "beta"], 4: ["alpha", "beta", "gamma"]}
+    got = sorted((r.query_id, r.doc_id, r.tf) for r in matching.find_phrases(docs, asked).collect())
+    want = [(q, r.doc_id, r.tf) for q, own in asked.items() for r in matching.phrase(postings(docs), own).collect()]
+    assert got == sorted(want) and got
