@@ -1,12 +1,16 @@
 """Steps whose work grew faster than their input: same results as brute force, and plans without the costly step."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillspan import queries
 from quillspan.functions.scoring import Bm25
 from quillspan.operators import matching, ranking, vectors
 from quillspan.operators.index import by_repetition, corpus_stats, doc_lengths, postings, tokens
+from quillspan.queries import QUERIES
+from quillspan.sql import ORACLE_SQL
 
 
 def plan(df) -> str:
@@ -93,3 +97,54 @@ def test_find_phrases(spark, corpus):
     got = sorted((r.query_id, r.doc_id, r.tf) for r in matching.find_phrases(docs, asked).collect())
     want = [(q, r.doc_id, r.tf) for q, own in asked.items() for r in matching.phrase(postings(docs), own).collect()]
     assert got == sorted(want) and got
+
+
+RUN_QUERIES = ("metric_means", "ndcg_at_10", "mrr_at_10", "softmax_loss", "negatives_hard", "negatives_soft")
+
+
+@pytest.mark.parametrize("name", [*RUN_QUERIES, "bm25_body_topk", "rrf_fusion"])
+def test_run_reads_texts_once(spark, monkeypatch, name):
+    """Statistics, scores and judgments come from one pass over the texts."""
+    read, whole = spark.sparkContext.accumulator(0), queries.documents
+
+    @F.udf("string")
+    def counted(text):
+        read.add(1)
+        return text
+
+    monkeypatch.setattr(queries, "documents", lambda *a: whole(*a).withColumn("body", counted("body")))
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    assert read.value == whole(spark, "/root/testdata/sf0.001").count()
+
+
+def test_run_of_odd_rows(spark, save):
+    """As SQL: documents and items that share an id or have none, a phrase over two rows of an id, one in a row
+    without an id only, null and empty texts, stop words, words over eight letters, rare characters."""
+    texts = ["alpha beta gamma", "Alpha the beta gamma delta", "extraordinary extraordinarily delta beta", "beta gamma delta alpha beta gamma", "", None, "the and of", "ünd alpha béta\0gamma alpha.beta-gamma"]
+    docs = [(i, " ".join(str(texts[(i * k) % 8] or "") for k in range(1 + i % 4)) if i % 9 else texts[i % 8]) for i in range(150)]
+    docs += [(500, "omega"), (500, "x psi"), (500, "x x chi"), (7, "alpha beta gamma"), (7, "alpha beta gamma"), (None, "sole sigma tau"), (None, "sole alpha"), (501, "sole sigma")]
+    items = [(1, "Alpha beta gamma more"), (2, "extraordinary extraordinarily delta"), (3, "omega psi chi"), (4, "sole sigma tau"), (5, "beta gamma"), (6, None), (7, "alpha the beta"), (8, "none of these"), (9, "beta beta gamma"), (9, "delta alpha"), (10, "alpha beta gamma"), (None, "alpha beta gamma"), (12, "gamma delta alpha")]
+    d = save(documents=spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), benchmark=spark.createDataFrame(items, "item_id bigint, text string"))
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{d}/{t}.parquet/*.parquet'")
+    for name in RUN_QUERIES:
+        got = QUERIES[name](spark, d)
+        rows = sorted((tuple(r) for r in got.collect()), key=str)
+        assert rows == sorted(con.sql(f"select {', '.join(got.columns)} from ({ORACLE_SQL[name]})").fetchall(), key=str) and rows, name
+
+
+def test_best_rows_in_parts():
+    """Rows added in many parts leave the same rows as all at once, whatever falls under a query's limit on the way."""
+    rng = np.random.default_rng(3)
+    n, terms = 3000, list("abcdef")
+    weights = [(q, t, float(rng.normal())) for q in range(5) for t in terms if rng.random() < 0.5]
+    kept, tf = rng.integers(1, 60, n), rng.integers(0, 4, (n, 6))
+    parts = []
+    for size in (n, 100, 7):
+        best = ranking.Best(weights, terms, 30.0, 20, Bm25(title_boost=0.0))
+        for k in range(0, n, size):
+            row, term = np.nonzero(tf[k : k + size])
+            best.add(np.arange(k, min(k + size, n)), kept[k : k + size], row, term, tf[k : k + size][row, term])
+        parts.append(best.batch().to_pylist())
+    assert parts[0] == parts[1] == parts[2] and len(parts[0]) >= 20
