@@ -2,12 +2,13 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillspan import queries
 from quillspan.functions.scoring import Bm25
-from quillspan.operators import matching, ranking, vectors
+from quillspan.operators import index, matching, ranking, vectors
 from quillspan.operators.index import by_repetition, corpus_stats, doc_lengths, postings, tokens
 from quillspan.queries import QUERIES
 from quillspan.sql import ORACLE_SQL
@@ -148,3 +149,24 @@ def test_best_rows_in_parts():
             best.add(np.arange(k, min(k + size, n)), kept[k : k + size], row, term, tf[k : k + size][row, term])
         parts.append(best.batch().to_pylist())
     assert parts[0] == parts[1] == parts[2] and len(parts[0]) >= 20
+
+
+def test_stems_of_wanted_terms_alone(monkeypatch):
+    """A worker stems only words that can give a wanted term, with the same postings and lengths, and keeps few stems."""
+    words = [a + b for a in ("thon", "dy", "skie", "y", "ies", "general", "s", "elle", "0", "in", "e", "eed", "ell") for b in ("", "ing", "s", "ed", "ies", "ly", "ational", "y", "e", "eed", "ying")]
+    assert all(index.stem(w)[0] == w[0] for w in words)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": [" ".join(words).encode(), b"thons the dying", None]})
+    called, real = [], index.stem
+    monkeypatch.setattr(index, "stem", lambda w: called.append(w) or real(w))
+    wanted = {"thon", "die", "none"}
+
+    def found():
+        s = next(index._slices(iter([batch]), "english", whole))
+        return sorted((r, p, s.terms[t]) for r, p, t in zip(s.row.tolist(), s.pos.tolist(), s.term.tolist(), strict=True) if s.terms[t] in wanted), s.n_kept.tolist()
+
+    whole = None
+    want, n_all = found(), len(called)
+    called.clear()
+    whole = wanted
+    assert found() == want and want[0] and 0 < len(called) < n_all / 3
+    assert real.cache_info().maxsize <= 1 << 15
